@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing_gga, vbyte_ids
+from . import chat_grammar, packing_gga, vbyte_ids, warc_revisit
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,10 +15,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc_revisit.write_archives(table(spark, sf_dir, "pages"))
+    return warc_revisit.read_archives(spark, path)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_gga.best_fit_packing(table(spark, sf_dir, "documents"))
 
 
+#: Conversation that the contract adds: both turns hold the template's own signs.
+ADDED_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op5_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame([(-7, 0, "user", ADDED_TEXT), (-7, 1, "assistant", ADDED_TEXT)], turns.schema)
+    return chat_grammar.digest(chat_grammar.format_conversations(turns.unionByName(added)))
+
+
 def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vbyte_ids.write_token_files(table(spark, sf_dir, "documents"))
     return vbyte_ids.token_index(spark, path)
@@ -26,10 +41,42 @@ def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_warc_revisits": op3_warc_revisits,
+        "op5_chat_round_trip": op5_chat_round_trip,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op8_token_ids": op8_token_ids,
     }
 
 
+OP3_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages
+), g AS (SELECT d, max(page_id) AS o FROM p WHERE n >= 1000 GROUP BY d)
+SELECT p.page_id, CAST(p.n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
+  CASE WHEN g.o IS NOT NULL AND p.page_id <> g.o AND p.n >= 1000 THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN g.o IS NOT NULL AND p.page_id <> g.o AND p.n >= 1000 THEN g.o END AS refers_to,
+  q.url AS target_uri
+FROM p JOIN pages q ON q.page_id = p.page_id LEFT JOIN g ON g.d = p.d
+"""
+
+OP5_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), r AS (
+  SELECT *, CASE WHEN contains(text, chr(92)) OR contains(text, '</turn>' || chr(10)) OR regexp_matches(text, '### (User|Assistant|System|Other [^:\n]*): ')
+    THEN replace(replace(replace(text, chr(92), chr(92) || chr(92)), '</turn>', '<\/turn>'), '### ', '#\## ') ELSE text END AS body
+  FROM t
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('### ' || role || ': ' || body || '</turn>') + 1) AS BIGINT) AS formatted_chars
+FROM r GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_warc_revisits": OP3_SQL, "op5_chat_round_trip": OP5_SQL}

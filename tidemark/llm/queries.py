@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_grammar, packing_gga, vbyte_ids, warc_revisit
+from . import ann_mih, chat_grammar, mips_norm, packing_gga, quality_ftrl, vbyte_ids, warc_revisit
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_mih.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc_revisit.write_archives(table(spark, sf_dir, "pages"))
     return warc_revisit.read_archives(spark, path)
@@ -34,20 +38,42 @@ def op5_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_grammar.digest(chat_grammar.format_conversations(turns.unionByName(added)))
 
 
+def op7_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_ftrl.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vbyte_ids.write_token_files(table(spark, sf_dir, "documents"))
     return vbyte_ids.token_index(spark, path)
 
 
+def op10_exact_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mips_norm.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op1_multi_index_hashing": op1_multi_index_hashing,
+        "op10_exact_inner_products": op10_exact_inner_products,
         "op3_warc_revisits": op3_warc_revisits,
         "op5_chat_round_trip": op5_chat_round_trip,
         "op4_best_fit_packing": op4_best_fit_packing,
+        "op7_quality_ftrl": op7_quality_ftrl,
         "op8_token_ids": op8_token_ids,
     }
 
 
+OP10_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
 OP3_SQL = """
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages
@@ -79,4 +105,4 @@ FROM r GROUP BY conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc_revisits": OP3_SQL, "op5_chat_round_trip": OP5_SQL}
+    return {"op10_exact_inner_products": OP10_SQL, "op3_warc_revisits": OP3_SQL, "op5_chat_round_trip": OP5_SQL}

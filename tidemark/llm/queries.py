@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_mih, chat_grammar, mips_norm, packing_gga, quality_ftrl, vbyte_ids, warc_revisit
+from . import ann_mih, chat_grammar, chosen_path, mips_norm, packing_gga, quality_ftrl, vbyte_ids, warc_revisit
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,10 @@ def op1_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_mih.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.ngram_jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc_revisit.write_archives(table(spark, sf_dir, "pages"))
     return warc_revisit.read_archives(spark, path)
@@ -54,6 +58,7 @@ def op10_exact_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_multi_index_hashing": op1_multi_index_hashing,
+        "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
         "op10_exact_inner_products": op10_exact_inner_products,
         "op3_warc_revisits": op3_warc_revisits,
         "op5_chat_round_trip": op5_chat_round_trip,
@@ -63,6 +68,26 @@ def queries() -> dict[str, Query]:
     }
 
 
+OP2_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g
+  FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), l AS (
+  SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE p.c >= 0.8 * (x.n + y.n - p.c) - 1e-9
+), r AS (
+  SELECT doc_id AS node, doc_id AS root FROM documents
+  UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node
+), c AS (SELECT node, min(root) AS class_id FROM r GROUP BY node
+), k AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT c.node AS doc_id, c.class_id, coalesce(k.n, 0) AS n_links FROM c LEFT JOIN k ON k.a = c.node
+"""
+
 OP10_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
@@ -105,4 +130,4 @@ FROM r GROUP BY conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_inner_products": OP10_SQL, "op3_warc_revisits": OP3_SQL, "op5_chat_round_trip": OP5_SQL}
+    return {"op2_ngram_jaccard_join": OP2_SQL, "op10_exact_inner_products": OP10_SQL, "op3_warc_revisits": OP3_SQL, "op5_chat_round_trip": OP5_SQL}

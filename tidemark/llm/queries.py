@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_mih, chat_grammar, chosen_path, mips_norm, packing_gga, quality_ftrl, vbyte_ids, warc_revisit
+from . import ann_mih, bpe_distinct, chat_grammar, chosen_path, mips_norm, packing_gga, quality_ftrl, vbyte_ids, warc_revisit
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,6 +51,11 @@ def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vbyte_ids.token_index(spark, path)
 
 
+def op9_distinct_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe_distinct.encode(table(spark, sf_dir, "documents"))
+    return bpe_distinct.digest(bpe_distinct.decode(coded))
+
+
 def op10_exact_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mips_norm.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -59,6 +64,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_multi_index_hashing": op1_multi_index_hashing,
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+        "op9_distinct_word_bpe": op9_distinct_word_bpe,
         "op10_exact_inner_products": op10_exact_inner_products,
         "op3_warc_revisits": op3_warc_revisits,
         "op5_chat_round_trip": op5_chat_round_trip,

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_mih, bpe_distinct, chat_grammar, chosen_path, mips_norm, packing_gga, quality_ftrl, vbyte_ids, warc_revisit
+from . import ann_mih, bpe_distinct, chat_grammar, chosen_path, mips_norm, packing_gga, pii_surrogates, quality_ftrl, vbyte_ids, warc_revisit
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,6 +42,15 @@ def op5_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_grammar.digest(chat_grammar.format_conversations(turns.unionByName(added)))
 
 
+#: Key of the surrogates in the registered queries; a parameter of the operator.
+PII_KEY = "tidemark"
+
+
+def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii_surrogates.replace_entities(docs, PII_KEY, count_col="n_replaced")
+
+
 def op7_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_ftrl.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -69,6 +78,7 @@ def queries() -> dict[str, Query]:
         "op3_warc_revisits": op3_warc_revisits,
         "op5_chat_round_trip": op5_chat_round_trip,
         "op4_best_fit_packing": op4_best_fit_packing,
+        "op6_pii_surrogates": op6_pii_surrogates,
         "op7_quality_ftrl": op7_quality_ftrl,
         "op8_token_ids": op8_token_ids,
     }

@@ -1,0 +1 @@
+"""Ordered, versioned key/value analytics on Spark DataFrames."""

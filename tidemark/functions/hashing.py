@@ -91,3 +91,34 @@ def masked_crc_column(value: Column) -> Column:
         return pa.array(masked(crc32c_batch(v)))
 
     return run(value)
+
+
+#: Fixed values of the two-word hash that deals cache entries to buckets.
+PAIR_MULTIPLIER, PAIR_SHIFT = 0x5BD1E995, 24
+
+
+def pair_hash(ns: Column, key: Column, seed: int = 0) -> Column:
+    """32-bit hash of two 64-bit numbers.  Built-in functions only: the multiplier
+    is below 2**31, so products of 32-bit numbers fit in a long."""
+
+    def low(x: Column) -> Column:
+        return x.bitwiseAND(F.lit(_M32).cast("long"))
+
+    def times(x: Column) -> Column:
+        return low(x * F.lit(PAIR_MULTIPLIER).cast("long"))
+
+    h = F.lit(seed).cast("long")
+    for word in (low(F.shiftrightunsigned(ns, 32)), low(ns), low(F.shiftrightunsigned(key, 32)), low(key)):
+        k = times(word)
+        h = times(h).bitwiseXOR(times(k.bitwiseXOR(F.shiftright(k, PAIR_SHIFT))))
+    h = times(h.bitwiseXOR(F.shiftright(h, 13)))
+    return h.bitwiseXOR(F.shiftright(h, 15))
+
+
+def pair_hash_of(ns: int, key: int, seed: int = 0) -> int:
+    h = seed
+    for word in (ns >> 32 & _M32, ns & _M32, key >> 32 & _M32, key & _M32):
+        k = word * PAIR_MULTIPLIER & _M32
+        h = (h * PAIR_MULTIPLIER & _M32) ^ ((k ^ k >> PAIR_SHIFT) * PAIR_MULTIPLIER & _M32)
+    h = (h ^ h >> 13) * PAIR_MULTIPLIER & _M32
+    return h ^ h >> 15

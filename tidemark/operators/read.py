@@ -51,6 +51,18 @@ def multi_get(log: DataFrame, keys: DataFrame, seq: int | None = None) -> DataFr
     return scan_latest(log.join(keys.select("ukey").distinct(), "ukey", "left_semi"), seq)
 
 
+def staged_multi_get(log: DataFrame, keys: DataFrame, levels: list[int], seq: int | None = None) -> DataFrame:
+    """:func:`multi_get` level by level: keys that a level answers, with a value
+    or a tombstone, aren't looked for below.  Worth it where hot levels answer
+    most keys and deep ones are large; each level is one more join."""
+    todo, out = keys.select("ukey").distinct(), None
+    for level in levels:
+        hit = resolve(log.where(F.col("level") == level).join(todo, "ukey", "left_semi"), seq)
+        out = hit if out is None else out.unionByName(hit)
+        todo = todo.join(hit.select("ukey"), "ukey", "left_anti")
+    return live(out)
+
+
 def history(log: DataFrame) -> DataFrame:
     """Every version with its neighbours in time."""
     w = Window.partitionBy("ukey").orderBy("seq")

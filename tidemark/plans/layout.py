@@ -124,3 +124,14 @@ def compaction_inputs(meta: DataFrame, level: int, low, high) -> DataFrame:
     below = meta.where(F.col("level") == level + 1)
     below = overlapping(below, hull.lo, hull.hi) if hull.lo is not None else below.limit(0)
     return source.unionByName(below)
+
+
+def search_positions(meta: DataFrame, keys: DataFrame, key: str = "ukey") -> DataFrame:
+    """Per level and key, positions from 0 in the files ordered by key: the first
+    file that begins at or after it, and the first that ends at or after it.
+    Behind the last file: the number of files."""
+    k = F.col(key)
+    levels = meta.groupBy("level").agg(F.collect_list(F.struct("imin_k", "imax_k")).alias("files"))
+    each = keys.select(key).distinct().withColumn("level", F.explode(F.array(*[F.lit(r.level) for r in levels.select("level").collect()])))
+    found = each.join(levels, "level")
+    return found.select(key, "level", F.size(F.filter("files", lambda f: f.imin_k < k)).alias("begins_at"), F.size(F.filter("files", lambda f: f.imax_k < k)).alias("ends_at"))

@@ -83,6 +83,11 @@ def multi_get(spark, sf_dir):
     return read.multi_get(_log(spark, sf_dir), _wanted(spark, sf_dir)).select("ukey", "seq", _rounded())
 
 
+@query(_resolved("WHERE ukey IN (SELECT lpad(CAST(c_custkey AS VARCHAR), 8, '0') FROM customer)") + "SELECT ukey, level, seq FROM rs WHERE kind = 1")
+def staged_multi_get(spark, sf_dir):
+    return read.staged_multi_get(_log(spark, sf_dir), _wanted(spark, sf_dir), [0, 1, 2]).select("ukey", "level", "seq")
+
+
 @query(_resolved() + "SELECT ukey, level, seq FROM rs WHERE kind = 0")
 def tombstoned_keys(spark, sf_dir):
     return read.resolve(_log(spark, sf_dir)).where("kind = 0").select("ukey", "level", "seq")
@@ -338,6 +343,12 @@ def files_for_key(spark, sf_dir):
     return read.files_for_keys(fixture.table_meta(log), log.where("seq % 10 = 0").select("ukey").distinct())
 
 
+@query(META + ", k AS (SELECT DISTINCT ukey FROM kv WHERE seq % 100 = 0) SELECT k.ukey, level, CAST(count(*) FILTER (imin_k < k.ukey) AS INTEGER) AS begins_at, CAST(count(*) FILTER (imax_k < k.ukey) AS INTEGER) AS ends_at FROM k, meta GROUP BY k.ukey, level")
+def file_search(spark, sf_dir):
+    log = _log(spark, sf_dir)
+    return layout.search_positions(fixture.table_meta(log), log.where("seq % 100 = 0").select("ukey"))
+
+
 @query(META + "SELECT level, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, min(imin_k) AS imin_k, max(imax_k) AS imax_k FROM meta GROUP BY level")
 def level_files(spark, sf_dir):
     return layout.level_stats(_meta(spark, sf_dir))
@@ -560,6 +571,23 @@ def hash32(spark, sf_dir):
     return _log(spark, sf_dir).select("ukey").distinct().select("ukey", hashing.hash32_column(F.col("ukey")).alias("h"))
 
 
+def _pair_sql() -> str:
+    m, full = hashing.PAIR_MULTIPLIER, 0xFFFFFFFF
+    steps, last = [], "CAST(0 AS BIGINT)"
+    for n, word in enumerate(("(ns >> 32) & 4294967295", "ns & 4294967295", "(key >> 32) & 4294967295", "key & 4294967295")):
+        steps.append(f"a{n} AS (SELECT *, (({word}) * {m}) & {full} AS k{n} FROM {f'b{n - 1}' if n else 'a'})")
+        steps.append(f"b{n} AS (SELECT *, xor(({last} * {m}) & {full}, (xor(k{n}, k{n} >> 24) * {m}) & {full}) AS h{n} FROM a{n})")
+        last = f"h{n}"
+    steps.append(f"c AS (SELECT *, (xor(h3, h3 >> 13) * {m}) & {full} AS x FROM b3)")
+    return "WITH a AS (SELECT o_custkey AS ns, o_orderkey * 1000000007 AS key FROM orders), " + ", ".join(steps) + " SELECT ns, key, xor(x, x >> 15) AS h FROM c"
+
+
+@query(_pair_sql())
+def pair_hash(spark, sf_dir):
+    o = fixture.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("ns"), (F.col("o_orderkey") * 1_000_000_007).alias("key"))
+    return o.select("ns", "key", hashing.pair_hash(F.col("ns"), F.col("key")).alias("h"))
+
+
 @query(None)
 def crc32c_masked(spark, sf_dir):
     return _log(spark, sf_dir).select("ukey").distinct().select("ukey", hashing.masked_crc_column(F.col("ukey")).alias("crc"))

@@ -53,6 +53,8 @@ _SYLLABLES = {
 _ENDINGS = {
     "LATIN": ("rin", "lia", "son"), "CYRILLIC": ("рин", "лия", "нин"), "GREEK": ("νος", "λια", "κης"),
 }
+#: What stays of a domain: its last label, and a name reserved for examples.
+_DOMAIN_END = r"(?:(?:^|\.)example)?\.[^.]*$"
 MAX_ROUNDS = 30
 
 
@@ -156,13 +158,13 @@ def _surrogate() -> Column:
     """From the columns ``type``, ``norm``, ``round``, ``domain`` and the draws
     ``stream`` and ``domain_stream``."""
     kind, norm, domain, stream = F.col("type"), F.col("norm"), F.col("domain"), F.col("stream")
-    shown = F.regexp_replace(domain, r"\.[^.]*$", "")
+    shown = F.regexp_replace(domain, _DOMAIN_END, "")
     no = F.lit(False)
     plain = _like(norm, stream, F.lit(0), kind == "SECRET HEX")
     email = F.concat(
         _like(F.substring_index(norm, "@", 1), stream, F.lit(0), no), F.lit("@"),
         # One domain has one surrogate, whoever writes from it.
-        _like(shown, F.col("domain_stream"), F.lit(0), no), F.regexp_extract(domain, r"\.[^.]*$", 0),
+        _like(shown, F.col("domain_stream"), F.lit(0), no), F.regexp_extract(domain, _DOMAIN_END, 0),
     )
     ip = F.array_join(
         F.transform(F.split(norm, r"\."), lambda c, i: F.when(F.length(c) == 3, 100 + _draw(stream, i) % 156).when(F.length(c) == 2, 10 + _draw(stream, i) % 90).otherwise(1 + _draw(stream, i) % 9).cast("string")),

@@ -155,11 +155,15 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS, passes: int = PASSES) -> tupl
     return w, bias
 
 
+#: Column that holds scores beside a table's own columns.
+SCORE = "_quality_score"
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str], text_col: str = "text") -> DataFrame:
-    """Columns ``keep`` and ``score``, the probability of label 1, of every whole text."""
+    """Columns ``keep`` and :data:`SCORE`, the probability of label 1, of every whole text."""
     w, bias = model
-    source = docs.select(*keep, F.col(text_col).alias("_text"))
-    schema = docs.select(*keep).schema.add("score", "double")
+    source = docs.select(*keep, F.col(text_col).alias("_quality_text"))
+    schema = docs.select(*keep).schema.add(SCORE, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -168,7 +172,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str], tex
             for k, slots in slots_of(texts):
                 at, v = vector_of(slots)
                 out[k] = sigmoid(float(w[at] @ v) + bias)
-            yield pa.record_batch([*b.columns[:-1], pa.array(out)], names=[*b.schema.names[:-1], "score"])
+            yield pa.record_batch([*b.columns[:-1], pa.array(out)], names=[*b.schema.names[:-1], SCORE])
 
     return source.mapInArrow(run, schema)
 
@@ -196,11 +200,11 @@ def quality(docs: DataFrame, labels: DataFrame, cut: float = CUT, **kw) -> DataF
     """
     model = train_on_labels(docs, labels, **kw)
     out = score(docs, model, ["doc_id"])
-    return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col(SCORE).alias("score"), (F.col(SCORE) >= cut).cast("int").alias("predicted"))
 
 
 def reject(docs: DataFrame, labels: DataFrame, cut: float = CUT, **kw) -> DataFrame:
     """The rows of ``docs`` whose text scores at least ``cut``, all columns kept."""
     model = train_on_labels(docs, labels, **kw)
     out = score(docs, model, docs.columns)
-    return out.where(F.col("score") >= cut).select(*docs.columns)
+    return out.where(F.col(SCORE) >= cut).select(*docs.columns)

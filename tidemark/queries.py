@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +15,8 @@ from .functions import bloom, hashing, keys, names
 from .operators import read, scan, write
 from .options import Options
 from .plans import cache, layout, manifest
-from .sources import fixture, journal
+from .sources import fixture, journal, manifest_codec, table_file
+from .streaming import journal_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Query, str | None]] = {}
@@ -554,6 +556,79 @@ def internal_keys(spark, sf_dir):
     return _log(spark, sf_dir).select("ukey", "seq", keys.internal_key_hex(F.col("ukey"), F.col("seq"), F.col("kind")).alias("ikey"))
 
 
+@query(KV + """, r AS (SELECT file_num, CAST(sum(octet_length(encode(ukey)) + 19) OVER (PARTITION BY file_num ORDER BY ukey, seq DESC) AS BIGINT) AS upto FROM kv)
+SELECT file_num, max((upto - 1) // 4096) + 1 AS blocks, count(*) AS entries, max(upto) AS bytes FROM r GROUP BY file_num""")
+def writer_counters(spark, sf_dir):
+    upto = F.sum(F.octet_length("ukey") + 19).over(Window.partitionBy("file_num").orderBy("ukey", F.desc("seq")).rowsBetween(Window.unboundedPreceding, 0))
+    rows = _log(spark, sf_dir).select("file_num", upto.alias("upto"))
+    return rows.groupBy("file_num").agg((F.max(F.floor((F.col("upto") - 1) / 4096)) + 1).alias("blocks"), F.count("*").alias("entries"), F.max("upto").alias("bytes"))
+
+
+# Byte formats, written and read back
+
+
+@query("SELECT event_id // 500 AS journal, row_number() OVER (PARTITION BY event_id // 500 ORDER BY event_id) - 1 AS record_no, repeat(props, CAST(1 + event_id % 40 AS INTEGER)) AS record FROM events")
+def journal_round_trip(spark, sf_dir):
+    """Journals of 500 records, some over several blocks, encoded and decoded."""
+    e = fixture.read(spark, sf_dir, "events")
+    rows = e.select(F.floor(F.col("event_id") / 500).alias("journal"), "event_id", F.expr("repeat(props, cast(1 + event_id % 40 as int))").alias("record"))
+
+    def encode(key, part):
+        part = part.sort_values("event_id")
+        return pd.DataFrame({"journal": [key[0]], "content": [journal.encode(r.encode() for r in part.record)]})
+
+    def decode(frames):
+        for f in frames:
+            for k, content in zip(f.journal, f.content, strict=True):
+                found = [r.decode() for r in journal.decode(bytes(content), strict=True)]
+                yield pd.DataFrame({"journal": k, "record_no": range(len(found)), "record": found})
+
+    written = rows.groupBy("journal").applyInPandas(encode, "journal long, content binary")
+    return written.mapInPandas(decode, "journal long, record_no long, record string")
+
+
+@query("SELECT o_orderkey // 1000 AS tbl, printf('%08d', o_orderkey) AS key, o_orderpriority AS value FROM orders WHERE o_orderkey % 1000 BETWEEN 100 AND 899")
+def table_round_trip(spark, sf_dir):
+    """Sorted tables of 1,000 keys, encoded, then scanned over a range of each."""
+    o = fixture.read(spark, sf_dir, "orders")
+    rows = o.select(F.floor(F.col("o_orderkey") / 1000).alias("tbl"), F.format_string("%08d", "o_orderkey").alias("key"), F.col("o_orderpriority").alias("value"))
+
+    def encode(key, part):
+        part = part.sort_values("key")
+        return pd.DataFrame({"tbl": [key[0]], "content": [table_file.encode([(k.encode(), v.encode()) for k, v in zip(part.key, part.value, strict=True)])]})
+
+    def decode(frames):
+        for f in frames:
+            for n, content in zip(f.tbl, f.content, strict=True):
+                found = list(table_file.Table(bytes(content)).entries(b"%08d" % (n * 1000 + 100), b"%08d" % (n * 1000 + 900)))
+                yield pd.DataFrame({"tbl": n, "key": [k.decode() for k, _ in found], "value": [v.decode() for _, v in found]})
+
+    return rows.groupBy("tbl").applyInPandas(encode, "tbl long, content binary").mapInPandas(decode, "tbl long, key string, value string")
+
+
+@query(META + OPS_SQL + "SELECT level, num, coalesce(size, 0) AS size, op FROM ops")
+def manifest_round_trip(spark, sf_dir):
+    """Every operation as an encoded edit, decoded again."""
+    ops = _ops(spark, sf_dir)
+
+    def both(frames):
+        for f in frames:
+            out = []
+            for op, level, num, size in zip(f.op, f.level, f["num"], f["size"], strict=True):
+                edit = manifest_codec.Edit(added=[(level, num, int(size), b"a", b"z")]) if op else manifest_codec.Edit(deleted=[(level, num)])
+                back = manifest_codec.decode(manifest_codec.encode(edit))
+                out += [(a, b, c, 1) for a, b, c, *_ in back.added] + [(a, b, 0, 0) for a, b in back.deleted]
+            yield pd.DataFrame(out, columns=["level", "num", "size", "op"])
+
+    return ops.mapInPandas(both, "level int, num long, size long, op int")
+
+
+@query(KV + "SELECT ukey, max(seq) AS seq, max_by(kind, seq) AS kind FROM kv GROUP BY ukey")
+def stream_newest(spark, sf_dir):
+    """The merge of a streamed journal, over the whole log as one batch."""
+    return journal_stream.newest(_log(spark, sf_dir)).select("ukey", "seq", F.col("kind").cast("int").alias("kind"))
+
+
 # Hashes and filters
 
 #: The 32-bit hash of keys of eight bytes: two rounds.
@@ -588,7 +663,15 @@ def pair_hash(spark, sf_dir):
     return o.select("ns", "key", hashing.pair_hash(F.col("ns"), F.col("key")).alias("h"))
 
 
-@query(None)
+CRC_SQL = """
+, b AS (SELECT DISTINCT ukey, list_transform(range(1, length(ukey) + 1), lambda i: CAST(ascii(ukey[i]) AS BIGINT)) AS bytes FROM kv),
+r AS (SELECT ukey, list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(c >> 8, list_reduce(list_prepend(xor(c, x) & 255, range(0, 8)), lambda t, i: CASE WHEN t & 1 = 1 THEN xor(t >> 1, 2197175160) ELSE t >> 1 END))) AS c FROM b),
+f AS (SELECT ukey, xor(c, 4294967295) AS c FROM r)
+SELECT ukey, (((c >> 15) | ((c << 17) & 4294967295)) + 2726488792) & 4294967295 AS crc FROM f
+"""
+
+
+@query(KV + CRC_SQL)
 def crc32c_masked(spark, sf_dir):
     return _log(spark, sf_dir).select("ukey").distinct().select("ukey", hashing.masked_crc_column(F.col("ukey")).alias("crc"))
 

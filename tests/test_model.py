@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from tidemark.functions import keys
 from tidemark.operators import read, scan, write
 from tidemark.options import Options, Strict
-from tidemark.plans import cache, layout, manifest
+from tidemark.plans import cache, layout, manifest, ranges
 
 LOG = "level int, file_num long, ukey string, seq long, kind byte, value double"
 
@@ -75,6 +75,18 @@ def test_range_is_pushed_to_the_scan(spark, tmp_path):
     assert "GreaterThanOrEqual(ukey,00000100)" in plan and "LessThan(ukey,00000200)" in plan and "seq" not in plan.split("ReadSchema")[1]
 
 
+def test_overlap_join(spark):
+    rng = random.Random(13)
+    spans = lambda n: [(k, a, a + rng.randrange(-1, 15)) for k, a in enumerate(rng.choices(range(100), k=n))]
+    for cuts in (None, [], [10, 50]):
+        left, right = spans(40), spans(40)
+        a, b = spark.createDataFrame(left, "i long, a long, b long"), spark.createDataFrame(right, "j long, c long, d long")
+        got = sorted((r.i, r.j) for r in ranges.overlap_join(a, b, ("a", "b"), ("c", "d"), cuts).collect())
+        assert got == sorted((i, j) for i, a_, b_ in left for j, c, d in right if max(a_, c) <= min(b_, d))
+        got = sorted((r.i, r.j) for r in ranges.overlap_join(a, b, ("a", "a"), ("c", "d"), cuts).collect())
+        assert got == sorted((i, j) for i, a_, _ in left for j, c, d in right if c <= a_ <= d)
+
+
 def model_closure(files, lo, hi):
     while True:
         hit = [f for f in files if f[1] <= hi and lo <= f[2]]

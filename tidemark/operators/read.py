@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.ranges import overlap_join
+
 LIVE, DELETED = 1, 0
 
 
@@ -75,9 +77,9 @@ def history(log: DataFrame) -> DataFrame:
 def files_for_keys(meta: DataFrame, keys: DataFrame) -> DataFrame:
     """Files to look into for each key, in the order of the walk: level, then
     newer files first.  ``meta`` has one row per file."""
-    held = (F.col("imin_k") <= F.col("ukey")) & (F.col("ukey") <= F.col("imax_k"))
     order = Window.partitionBy("ukey").orderBy("level", F.desc("num"))
-    return keys.join(meta, held).select("ukey", "level", "num", F.row_number().over(order).alias("step"))
+    hit = overlap_join(keys.select("ukey"), meta.select("level", "num", "imin_k", "imax_k"), ("ukey", "ukey"), ("imin_k", "imax_k"))
+    return hit.select("ukey", "level", "num", F.row_number().over(order).alias("step"))
 
 
 def find_ge(rows: DataFrame, key: Column | str | int, column: str = "ukey") -> DataFrame:

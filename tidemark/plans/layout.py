@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..options import Options
+from .ranges import overlap_join
 
 
 def overlapping(meta: DataFrame, low, high) -> DataFrame:
@@ -23,9 +24,9 @@ def overlapping(meta: DataFrame, low, high) -> DataFrame:
 
 def overlap_pairs(upper: DataFrame, lower: DataFrame) -> DataFrame:
     """(num, other) of files of two levels that share a key."""
-    a, b = upper.alias("a"), lower.alias("b")
-    shared = (F.col("a.imin_k") <= F.col("b.imax_k")) & (F.col("b.imin_k") <= F.col("a.imax_k"))
-    return a.join(b, shared).select(F.col("a.num").alias("num"), F.col("b.num").alias("other"))
+    a = upper.select("num", "imin_k", "imax_k")
+    b = lower.select(F.col("num").alias("other"), F.col("imin_k").alias("lo"), F.col("imax_k").alias("hi"))
+    return overlap_join(a, b, ("imin_k", "imax_k"), ("lo", "hi")).select("num", "other")
 
 
 def islands(meta: DataFrame, group: str = "level") -> DataFrame:

@@ -37,9 +37,8 @@ def overlap_join(left: DataFrame, right: DataFrame, left_range: tuple[str, str],
 
     def spread(df: DataFrame, low: str, high: str, first: str) -> DataFrame:
         at = df.withColumn(first, segment(F.col(low), cuts))
-        if low == high:
-            return at.withColumn("_segment", F.col(first))
-        return at.withColumn("_segment", F.explode(F.sequence(F.col(first), F.greatest(F.col(first), segment(F.col(high), cuts)))))
+        last = F.col(first) if low == high else F.greatest(F.col(first), segment(F.col(high), cuts))
+        return at.withColumn("_segment", F.explode(F.sequence(F.col(first), last)))
 
     usable = lambda df, low, high: df.where(F.col(low) <= F.col(high))
     both = spread(usable(left, a, b), a, b, "_left").join(spread(usable(right, c, d), c, d, "_right"), "_segment")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: A key is heavy with over 1/HEAVY of the rows, so there are fewer than HEAVY heavy keys.
@@ -14,19 +14,16 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, count: str, total:
     ``count`` the number of rows of that key.
 
     Heavy keys (fewer than :data:`HEAVY` by the pigeonhole principle, whatever
-    the size of the data) are joined by broadcast where the rows lie; the
-    others, each at most 1/HEAVY of all rows, by a shuffle.  ``rows`` is read
-    twice, so it should be a written table.  Null keys match nothing.
+    the size of the data) are known to the driver by name: their rows are joined
+    by broadcast where they lie.  The others, each at most 1/HEAVY of all rows,
+    are joined by a shuffle.  ``rows`` is read twice, so it should be a written
+    table.  Null keys match nothing.
     """
-    heavy_at = total / HEAVY
-    is_heavy = F.col(count) > heavy_at
+    is_heavy = F.col(count) > total / HEAVY
     heavy = groups.where(is_heavy).limit(HEAVY)
-    hot_keys = heavy.select(F.col(key))
-    hot = rows.join(F.broadcast(heavy), key)
-    cold = rows.join(F.broadcast(hot_keys), key, "left_anti").join(groups.where(~is_heavy), key)
+    names = [r[0] for r in heavy.select(key).collect()]
+    if not names:
+        return rows.join(groups, key)
+    hot = rows.where(F.col(key).isin(names)).join(F.broadcast(heavy), key)
+    cold = rows.where(~F.col(key).isin(names)).join(groups.where(~is_heavy), key)
     return hot.unionByName(cold)
-
-
-def as_long(hex_digits: Column) -> Column:
-    """The first 15 hex digits of a digest as a non-negative long."""
-    return F.conv(F.substring(hex_digits, 1, 15), 16, 10).cast("long")

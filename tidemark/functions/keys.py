@@ -36,6 +36,19 @@ def internal_key_hex(ukey: Column, seq: Column, kind: Column) -> Column:
     return F.concat(F.hex(F.encode(ukey, "UTF-8")), swapped)
 
 
+def parse_key_hex(ikey: Column) -> Column:
+    """``(ukey, seq, kind)`` of internal keys in hexadecimal; null where one is
+    too short or of an unknown kind."""
+    n = F.length(ikey)
+    tail = F.substr(ikey, n - 15, F.lit(16))
+    number = F.concat(*[F.substring(tail, 15 - 2 * k, 2) for k in range(8)])
+    kind = F.conv(F.substring(number, 15, 2), 16, 10).cast("int")
+    parts = F.struct(
+        F.decode(F.unhex(F.substr(ikey, F.lit(1), n - 16)), "UTF-8").alias("ukey"), F.conv(F.substring(number, 1, 14), 16, 10).cast("long").alias("seq"), kind.alias("kind"),
+    )
+    return F.when((n >= 16) & (kind <= 1), parts)
+
+
 def sort_key(order: Column, ukey: Column) -> Column:
     """Custom collation: sort and compare by this in place of ``ukey``."""
     return F.struct(order.alias("order"), ukey.alias("ukey"))

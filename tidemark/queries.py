@@ -195,6 +195,14 @@ def array_index_scan(spark, sf_dir):
     return lists.select("level", F.posexplode("nums").alias("pos", "num")).withColumn("pos", F.col("pos").cast("long"))
 
 
+@query(KV + "SELECT max(ukey) AS last_key, min(ukey) AS first_key, count(*) AS entries FROM kv WHERE ukey >= greatest('00000005', '00000020') AND ukey < '00000100'")
+def seek_clamped(spark, sf_dir):
+    """A seek before a range starts at the range."""
+    keys_ = scan.Range("00000020", "00000100")
+    rows = scan.in_range(_log(spark, sf_dir), scan.Range(keys_.clamp("00000005"), keys_.limit))
+    return rows.agg(F.max("ukey").alias("last_key"), F.min("ukey").alias("first_key"), F.count("*").alias("entries"))
+
+
 # Writes
 
 
@@ -438,6 +446,11 @@ def _versions(spark, sf_dir):
     return spread.select("num", F.col("v").cast("long").alias("version_id")).where(F.col("num") % (F.col("version_id") + 2) != 0)
 
 
+@query(META + "SELECT max(num) + 1 AS next_file_num FROM meta")
+def next_file_number(spark, sf_dir):
+    return spark.createDataFrame([(manifest.next_file_number(_meta(spark, sf_dir)),)], "next_file_num long")
+
+
 @query(META + VERSIONS_SQL + "SELECT num, count(DISTINCT version_id) AS refs FROM v GROUP BY num")
 def file_refcount(spark, sf_dir):
     return manifest.reference_counts(_versions(spark, sf_dir))
@@ -629,6 +642,12 @@ def stream_newest(spark, sf_dir):
     return journal_stream.newest(_log(spark, sf_dir)).select("ukey", "seq", F.col("kind").cast("int").alias("kind"))
 
 
+@query(KV + "SELECT ukey, seq, CAST(kind AS INTEGER) AS kind FROM kv")
+def parse_internal_keys(spark, sf_dir):
+    coded = _log(spark, sf_dir).select(keys.internal_key_hex(F.col("ukey"), F.col("seq"), F.col("kind")).alias("ikey"))
+    return coded.select(keys.parse_key_hex(F.col("ikey")).alias("k")).select("k.*")
+
+
 # Hashes and filters
 
 #: The 32-bit hash of keys of eight bytes: two rounds.

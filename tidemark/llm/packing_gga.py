@@ -209,6 +209,7 @@ def _pack_cells(cells: DataFrame, capacity: int, islands: int, epochs: int, cros
     """``cells``: (cell, items, sizes) with packed arrays. Best ``labels`` of each cell."""
     spread = cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"))
     best = None
+    tasks = min(10_000, max(1, cells.count() * islands))
     for epoch in range(epochs):
 
         def run(batches: Iterator[pa.RecordBatch], epoch: int = epoch) -> Iterator[pa.RecordBatch]:
@@ -230,7 +231,9 @@ def _pack_cells(cells: DataFrame, capacity: int, islands: int, epochs: int, cros
             moved = own.select("cell", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int").alias("island"), "labels")
             elites = own.union(moved).groupBy("cell", "island").agg(F.collect_list("labels").alias("elites"))
             given = spread.select("cell", "island", "sizes").join(elites, ["cell", "island"])
-        best = materialize(given.repartition(F.col("cell"), F.col("island")).mapInArrow(run, _OUT), f"islands-{epoch}")
+        # The work is large and the rows are few, so their number is given: Spark
+        # would else merge them into a few tasks.
+        best = materialize(given.repartition(tasks, "cell", "island").mapInArrow(run, _OUT), f"islands-{epoch}")
     return best.groupBy("cell").agg(F.max_by("labels", F.struct(-F.col("n_bins"), "fill", -F.col("island"))).alias("labels"))
 
 

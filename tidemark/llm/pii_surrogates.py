@@ -40,9 +40,10 @@ PATTERNS: dict[str, str] = {
     "PERSON": rf"(?<![\p{{L}}\p{{N}}])(?:{_MALE}|{_FEMALE}|{_EITHER})\.? {_NAME}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: No pattern matches without a digit, an at sign, a title or one of these words.
-_TITLES = [t for group in (_MALE, _FEMALE, _EITHER) for t in group.split("|")]
-HINT = r"[0-9@]|(?i:password|passwd|secret|token|api[_\-]?key)|(?:" + "|".join(_TITLES) + r")\.? "
+#: No pattern matches without one of these signs or beginnings of a title, which
+#: are far quicker to look for than the patterns.
+SIGNS = "[0-9@=:]"
+BEGINNINGS = ["Mr", "Herr", "Monsieur", "Señor", "господин", "г-н", "Ms", "Miss", "Frau", "Mad", "Mme", "Mlle", "госпожа", "г-жа", "Dr", "Prof"]
 
 #: Syllables of made-up names by script; endings by script and gender.
 _SYLLABLES = {
@@ -259,7 +260,10 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text", count_co
     starting with ``_pii_``.
     """
     text = F.col(text_col)
-    found = F.coalesce(text.rlike(HINT), F.lit(False)) & F.coalesce(text.rlike(ANY), F.lit(False))
+    may = text.rlike(SIGNS)
+    for beginning in BEGINNINGS:
+        may = may | text.contains(beginning)
+    found = F.coalesce(may & text.rlike(ANY), F.lit(False))
     columns = [F.col(f"`{c}`") for c in docs.columns]
     count = [F.lit(0).cast("int").alias(count_col)] if count_col else []
     untouched = docs.where(~found).select(*columns, *count)

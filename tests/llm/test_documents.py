@@ -243,11 +243,12 @@ def test_distinct_word_bpe(spark):
 
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
     coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    coded = bpe_distinct.encode(table(spark), block_chars=2_000_000)
-    got = Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe_distinct.digest(bpe_distinct.decode(coded)).collect())
+    got = Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe_distinct.digest(table(spark), block_chars=2_000_000).collect())
     want = Counter()
     for d, t in ROWS:
         ids = coder.encode_ordinary(t or "")
         want[d, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()] += 1
     assert got == want
+    back = bpe_distinct.decode(bpe_distinct.encode(table(spark))).collect()
+    assert Counter((r.doc_id, bytes(r.decoded).decode()) for r in back) == Counter((d, t or "") for d, t in ROWS)
     assert bpe_distinct.encode(table(spark, [])).count() == 0

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -32,8 +32,11 @@ from .wordsplit import LONGEST, chunks, pieces
 
 RANKS_FILE = "byte_bpe_50k.tiktoken"
 #: Characters of text of a block, and groups that its words are dealt to.
-BLOCK_CHARS = 24_000_000
-BUCKETS = 256
+BLOCK_CHARS = 32_000_000
+BUCKETS = 64
+#: Words of a block that are numbered by frequency; the others are numbered in
+#: the order in which they are sent, so that their numbers needn't be.
+FREQUENT = 16_384
 #: A shuffled row: either a block's positions (bucket -1) or some of its words.
 ROW = "spread long, block long, bucket int, payload binary"
 
@@ -123,22 +126,35 @@ class _Block:
         return len(self.words) - 1
 
     def rows(self, block: int) -> Iterator[tuple[int, int, int, bytes]]:
+        # A block is used up by this; what isn't needed any more goes at once.
+        self.known.clear()
         stream = np.concatenate(self.stream) if self.stream else np.zeros(0, np.uint32)
-        often = np.argsort(-np.bincount(stream, minlength=len(self.words)), kind="stable")
-        rank = np.zeros(len(often), np.uint32)
-        rank[often] = np.arange(len(often), dtype=np.uint32)
-        control, data = encode_ranks(rank[stream] if len(stream) else stream)
+        self.stream.clear()
+        n = len(self.words)
+        raw = [w.encode("utf-8", "surrogatepass") for w in self.words]
+        self.words.clear()
+        bucket = (np.array(self.hashes, np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(58)).astype(np.int64)
+        often = np.argsort(-np.bincount(stream, minlength=n), kind="stable")
+        top, others = often[:FREQUENT], often[FREQUENT:]
+        # Within a bucket neighbours share beginnings, which compress well.
+        rest = [k for b in range(BUCKETS) for k in sorted(others[bucket[others] == b].tolist(), key=raw.__getitem__)]
+        number = np.zeros(n, np.uint32)
+        number[top] = np.arange(len(top), dtype=np.uint32)
+        number[rest] = np.arange(len(top), n, dtype=np.uint32)
+        control, data = encode_ranks(number[stream] if len(stream) else stream)
         ids = np.array([0 if d is None else d for d in self.doc_ids], "<i8")
         null = np.array([d is None for d in self.doc_ids], np.uint8)
-        yield -1 - block, block, -1, _pack(ids, null, np.array(self.counts, "<i4"), np.array([len(self.words), len(stream)], "<i8"), control, data)
-        bucket = np.array(self.hashes, np.uint64)[often] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56) if len(often) else np.zeros(0, np.uint64)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+        in_rest = np.bincount(bucket[rest], minlength=BUCKETS) if rest else np.zeros(BUCKETS, np.int64)
+        first = len(top) + np.cumsum(in_rest) - in_rest
+        yield -1 - block, block, -1, _pack(ids, null, np.array(self.counts, "<i4"), np.array([n, len(stream)], "<i8"), first.astype("<i8"), control, data)
+        del stream, number, control, data
+        of_top = bucket[top]
         for b in range(BUCKETS):
-            own = order[cuts[b] : cuts[b + 1]]
-            if len(own):
-                raw = [self.words[k].encode("utf-8", "surrogatepass") for k in often[own].tolist()]
-                yield b, block, b, _pack(np.diff(own, prepend=0).astype("<i4"), np.array([len(w) for w in raw], "<i4"), b"".join(raw))
+            own_top = np.flatnonzero(of_top == b)
+            at = int(first[b]) - len(top)
+            words = [raw[k] for k in top[own_top].tolist()] + [raw[k] for k in rest[at : at + int(in_rest[b])]]
+            if words:
+                yield b, block, b, _pack(own_top.astype("<i4"), np.array([len(w) for w in words], "<i4"), b"".join(words))
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -146,10 +162,17 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["spread", "block", "bucket", "payload"])
 
 
-def encode(docs: DataFrame, ranks_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+def _rows_of_ids(doc_ids: list[int | None], ids: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(doc_ids, pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())], names=["doc_id", "ids"])
+
+
+def encode(docs: DataFrame, ranks_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, finish: Callable = _rows_of_ids, schema: str = "doc_id long, ids binary") -> DataFrame:
     """``(doc_id, ids)``: the ids of each whole text as little-endian 32-bit
     integers in a binary column, one row per row of ``docs``.
 
+    ``finish`` makes rows of ``schema`` from some documents' ids where they are
+    put together, in the same process.
+
     Null and empty texts have no ids; null and repeated ids stay as they are;
     other columns are ignored; an empty table gives no rows.
     """
@@ -159,70 +182,95 @@ def encode(docs: DataFrame, ranks_path: str | None = None, id_col: str = "doc_id
         number = TaskContext.get().partitionId() << 32
         block = _Block()
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-            for a in range(0, len(ids), 1000):
-                block.add(ids[a : a + 1000], texts[a : a + 1000])
+            for a in range(0, b.num_rows, 500):
+                part = b.slice(a, 500)
+                block.add(part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()])
                 if block.chars >= block_chars:
-                    yield _batch(list(block.rows(number)))
+                    yield from (_batch([r]) for r in block.rows(number))
                     number, block = number + 1, _Block()
         if block.doc_ids:
-            yield _batch(list(block.rows(number)))
+            yield from (_batch([r]) for r in block.rows(number))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _encoding(path)
-        known: dict[bytes, list[int]] = {}
+        known: dict[bytes, bytes] = {}
+        wide = max(rank_file(path).values()) >= 1 << 16
+        kind = "<u4" if wide else "<u2"
         for b in batches:
-            for spread, block, bucket, payload in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for k in range(b.num_rows):
+                spread, block, bucket = (b.column(i)[k].as_py() for i in range(3))
+                payload = b.column(3)[k].as_buffer()
                 if bucket < 0:
-                    yield _batch([(spread, block, bucket, payload)])
+                    yield _batch([(spread, block, bucket, payload.to_pybytes())])
                     continue
                 own, lens, raw = _unpack(payload)
-                ids: list[list[int]] = []
+                ids: list[bytes] = []
                 at = 0
                 for size in np.frombuffer(lens, "<i4").tolist():
                     word = raw[at : at + size]
                     at += size
                     found = known.get(word)
                     if found is None:
-                        found = known[word] = coder.encode_ordinary(word.decode("utf-8", "surrogatepass"))
+                        found = known[word] = np.array(coder.encode_ordinary(word.decode("utf-8", "surrogatepass")), kind).tobytes()
                     ids.append(found)
-                flat = np.fromiter((y for x in ids for y in x), "<u4")
-                yield _batch([(spread, block, bucket, _pack(own, np.array([len(x) for x in ids], "<i4"), flat))])
-
-    def join(key, table):
-        count, parts, at, lens, pool = 0, None, [], [], []
-        for bucket, payload in zip(table["bucket"].to_pylist(), table["payload"], strict=True):
-            parts_ = _unpack(payload.as_buffer())
-            if bucket < 0:
-                parts = parts_
-                continue
-            at.append(np.cumsum(np.frombuffer(parts_[0], "<i4")))
-            lens.append(np.frombuffer(parts_[1], "<i4"))
-            pool.append(np.frombuffer(parts_[2], "<u4"))
+                flat = np.frombuffer(b"".join(ids), kind)
+                yield _batch([(spread, block, bucket, _pack(own, np.array([len(x) for x in ids], "<i4") // (4 if wide else 2), kind.encode(), flat))])
+
+    def join(held: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        """Documents of a block from its positions and all of its words."""
+        parts = _unpack(held[0][1])
         doc_ids, null, counts = np.frombuffer(parts[0], "<i8"), np.frombuffer(parts[1], np.uint8), np.frombuffer(parts[2], "<i4")
         count, n = np.frombuffer(parts[3], "<i8").tolist()
-        length, offset = np.full(count, -1, np.int64), np.zeros(count, np.int64)
-        if at:
-            length[np.concatenate(at)] = np.concatenate(lens)
-            flat_lens = np.concatenate(lens).astype(np.int64)
-            offset[np.concatenate(at)] = np.cumsum(flat_lens) - flat_lens
+        first = np.frombuffer(parts[4], "<i8")
+        words = decode_ranks(np.frombuffer(parts[5], np.uint8), np.frombuffer(parts[6], np.uint8), n)
+        del parts
+        length, offset, pool, used = np.full(count, -1, np.int64), np.zeros(count, np.int64), [], 0
+        for bucket, payload in held[1:]:
+            top, size, kind, ids = _unpack(payload)
+            top, size = np.frombuffer(top, "<i4"), np.frombuffer(size, "<i4").astype(np.int64)
+            at = np.concatenate([top, first[bucket] + np.arange(len(size) - len(top))])
+            length[at], offset[at] = size, used + np.cumsum(size) - size
+            used += int(size.sum())
+            pool.append(np.frombuffer(ids, kind.decode()))
         if (length < 0).any():
-            raise ValueError(f"block {key[0]}: words without ids")
-        flat = np.concatenate(pool) if pool else np.zeros(0, "<u4")
-        words = decode_ranks(np.frombuffer(parts[4], np.uint8), np.frombuffer(parts[5], np.uint8), n)
-        out, begin = [], 0
-        for c in counts.tolist():
-            w = words[begin : begin + c]
-            begin += c
-            size = length[w]
-            upto = np.cumsum(size)
-            total = int(upto[-1]) if c else 0
-            out.append(flat[np.repeat(offset[w] - (upto - size), size) + np.arange(total)].astype("<u4").tobytes())
-        return pa.table([pa.array(doc_ids, pa.int64(), mask=null.astype(bool)), pa.array(out, pa.large_binary()).cast(pa.binary())], names=["doc_id", "ids"])
+            raise ValueError("words without ids")
+        flat = np.concatenate(pool) if pool else np.zeros(0, "<u2")
+        held.clear()
+        begin = 0
+        keys = [None if m else d for d, m in zip(doc_ids.tolist(), null.tolist(), strict=True)]
+        for a in range(0, len(keys), 500):
+            out = []
+            for c in counts[a : a + 500].tolist():
+                w = words[begin : begin + c]
+                begin += c
+                size = length[w]
+                upto = np.cumsum(size)
+                total = int(upto[-1]) if c else 0
+                out.append(flat[np.repeat(offset[w] - (upto - size), size) + np.arange(total)])
+            yield finish(keys[a : a + 500], out)
+
+    def reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, bytes]] = []
+        open_at = None
+        for b in batches:
+            for k in range(b.num_rows):
+                block = b.column(1)[k].as_py()
+                if held and block != open_at:
+                    yield from join(held)
+                    held = []
+                open_at = block
+                held.append((b.column(2)[k].as_py(), b.column(3)[k].as_buffer().to_pybytes()))
+        if held:
+            yield from join(held)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(split, ROW)
     coded = rows.repartition(F.col("spread")).mapInArrow(look_up, ROW)
-    return coded.groupBy("block").applyInArrow(join, "doc_id long, ids binary")
+    return coded.repartition(F.col("block")).sortWithinPartitions("block", "bucket").mapInArrow(reassemble, schema)
+
+
+def decode_ids(ids: np.ndarray, table: list[bytes | None]) -> bytes:
+    """Join of ids to the token-byte table."""
+    return b"".join([table[k] for k in ids.tolist()])
 
 
 def decode(coded: DataFrame, ranks_path: str | None = None) -> DataFrame:
@@ -232,25 +280,28 @@ def decode(coded: DataFrame, ranks_path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = token_bytes(path)
         for b in batches:
-            out = [b"".join([table[k] for k in np.frombuffer(x.as_buffer(), "<u4").tolist()]) for x in b.column(1)]
+            out = [decode_ids(np.frombuffer(x.as_buffer(), "<u4"), table) for x in b.column(1)]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["doc_id", "ids", "decoded"])
 
     return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")
 
 
-def digest(decoded: DataFrame) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of decoded documents."""
+DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decimal = [b"%d" % k for k in range(1 << 16)]
-        for b in batches:
-            n, hashes = [], []
-            for x in b.column(1):
-                ids = np.frombuffer(x.as_buffer(), "<u4")
-                n.append(len(ids))
-                text = [decimal[k] for k in ids.tolist()] if not len(ids) or ids.max() < 1 << 16 else [b"%d" % k for k in ids.tolist()]
-                hashes.append(hashlib.sha256(b" ".join(text)).hexdigest())
-            yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(hashes), b.column(2)], names=["doc_id", "n_tokens", "ids_sha256", "decoded"])
-
-    out = decoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded binary")
-    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+def digest(docs: DataFrame, ranks_path: str | None = None, **kw) -> DataFrame:
+    """:data:`DIGEST` of every document: encoded, decoded again, both hashed."""
+    path = ranks_path or public_tokenizers.path(RANKS_FILE)
+
+    def finish(doc_ids: list[int | None], ids: list[np.ndarray]) -> pa.RecordBatch:
+        table, decimal = token_bytes(path), _decimals()
+        hashes = [hashlib.sha256(b" ".join([decimal[k] if k < len(decimal) else b"%d" % k for k in x.tolist()])).hexdigest() for x in ids]
+        decoded = [hashlib.sha256(decode_ids(x, table)).hexdigest() for x in ids]
+        return pa.record_batch([pa.array(doc_ids, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array(hashes), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return encode(docs, path, finish=finish, schema=DIGEST, **kw)
+
+
+@lru_cache(None)
+def _decimals() -> list[bytes]:
+    return [b"%d" % k for k in range(1 << 16)]

@@ -42,8 +42,14 @@ def crc32_ids(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """(control bytes, data bytes) of unsigned 32-bit ranks."""
+def encode_ranks(ranks: np.ndarray, step: int = 1 << 18) -> tuple[bytes, bytes]:
+    """(control bytes, data bytes) of unsigned 32-bit ranks; ``step``, a multiple
+    of four, bounds the memory this takes."""
+    parts = [_encode_part(ranks[a : a + step]) for a in range(0, len(ranks), step)]
+    return b"".join(c for c, _ in parts), b"".join(d for _, d in parts)
+
+
+def _encode_part(ranks: np.ndarray) -> tuple[bytes, bytes]:
     ranks = ranks.astype(np.uint32)
     size = 1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
     code = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)

@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 import regex
 
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Pieces longer than this are never looked up by hash.
 LONGEST = 256
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
@@ -47,7 +47,7 @@ _powers: dict[str, np.ndarray] = {}
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if "p" not in _powers or len(_powers["p"]) < n:
-        size = 1 << max(21, int(n).bit_length())
+        size = 1 << max(20, int(n).bit_length())
         for name, base in (("p", _P), ("q", _PINV)):
             x = np.full(size, base, np.uint64)
             x[0] = 1

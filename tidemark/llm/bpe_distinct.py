@@ -31,9 +31,11 @@ from .vbyte_ids import decode_ranks, encode_ranks
 from .wordsplit import LONGEST, chunks, pieces
 
 RANKS_FILE = "byte_bpe_50k.tiktoken"
-#: Characters of text of a block, and groups that its words are dealt to.
+#: Characters of text of a block.
 BLOCK_CHARS = 32_000_000
-BUCKETS = 64
+#: Groups that a block's words are dealt to: a power of two, at least this and
+#: the number of shuffle partitions, so that more tasks share more words.
+LEAST_BUCKETS, MOST_BUCKETS = 64, 1 << 14
 #: Words of a block that are numbered by frequency; the others are numbered in
 #: the order in which they are sent, so that their numbers needn't be.
 FREQUENT = 16_384
@@ -125,7 +127,7 @@ class _Block:
         self.hashes.append(h)
         return len(self.words) - 1
 
-    def rows(self, block: int) -> Iterator[tuple[int, int, int, bytes]]:
+    def rows(self, block: int, buckets: int) -> Iterator[tuple[int, int, int, bytes]]:
         # A block is used up by this; what isn't needed any more goes at once.
         self.known.clear()
         stream = np.concatenate(self.stream) if self.stream else np.zeros(0, np.uint32)
@@ -133,23 +135,25 @@ class _Block:
         n = len(self.words)
         raw = [w.encode("utf-8", "surrogatepass") for w in self.words]
         self.words.clear()
-        bucket = (np.array(self.hashes, np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(58)).astype(np.int64)
+        bucket = (np.array(self.hashes, np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(65 - buckets.bit_length())).astype(np.int64)
         often = np.argsort(-np.bincount(stream, minlength=n), kind="stable")
         top, others = often[:FREQUENT], often[FREQUENT:]
         # Within a bucket neighbours share beginnings, which compress well.
-        rest = [k for b in range(BUCKETS) for k in sorted(others[bucket[others] == b].tolist(), key=raw.__getitem__)]
+        others = others[np.argsort(bucket[others], kind="stable")]
+        in_rest = np.bincount(bucket[others], minlength=buckets)
+        first = len(top) + np.cumsum(in_rest) - in_rest
+        ends = np.cumsum(in_rest).tolist()
+        rest = [k for a, b in zip([0, *ends], ends, strict=False) for k in sorted(others[a:b].tolist(), key=raw.__getitem__)]
         number = np.zeros(n, np.uint32)
         number[top] = np.arange(len(top), dtype=np.uint32)
         number[rest] = np.arange(len(top), n, dtype=np.uint32)
         control, data = encode_ranks(number[stream] if len(stream) else stream)
         ids = np.array([0 if d is None else d for d in self.doc_ids], "<i8")
         null = np.array([d is None for d in self.doc_ids], np.uint8)
-        in_rest = np.bincount(bucket[rest], minlength=BUCKETS) if rest else np.zeros(BUCKETS, np.int64)
-        first = len(top) + np.cumsum(in_rest) - in_rest
         yield -1 - block, block, -1, _pack(ids, null, np.array(self.counts, "<i4"), np.array([n, len(stream)], "<i8"), first.astype("<i8"), control, data)
         del stream, number, control, data
         of_top = bucket[top]
-        for b in range(BUCKETS):
+        for b in range(buckets):
             own_top = np.flatnonzero(of_top == b)
             at = int(first[b]) - len(top)
             words = [raw[k] for k in top[own_top].tolist()] + [raw[k] for k in rest[at : at + int(in_rest[b])]]
@@ -177,6 +181,8 @@ def encode(docs: DataFrame, ranks_path: str | None = None, id_col: str = "doc_id
     other columns are ignored; an empty table gives no rows.
     """
     path = ranks_path or public_tokenizers.path(RANKS_FILE)
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 1 << (min(max(LEAST_BUCKETS, partitions), MOST_BUCKETS) - 1).bit_length()
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -186,10 +192,10 @@ def encode(docs: DataFrame, ranks_path: str | None = None, id_col: str = "doc_id
                 part = b.slice(a, 500)
                 block.add(part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()])
                 if block.chars >= block_chars:
-                    yield from (_batch([r]) for r in block.rows(number))
+                    yield from (_batch([r]) for r in block.rows(number, buckets))
                     number, block = number + 1, _Block()
         if block.doc_ids:
-            yield from (_batch([r]) for r in block.rows(number))
+            yield from (_batch([r]) for r in block.rows(number, buckets))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _encoding(path)

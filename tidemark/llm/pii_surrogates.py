@@ -57,6 +57,9 @@ _ENDINGS = {
 #: What stays of a domain: its last label, and a name reserved for examples.
 _DOMAIN_END = r"(?:(?:^|\.)example)?\.[^.]*$"
 MAX_ROUNDS = 30
+#: From this draw on, addresses may differ from their original in length: there
+#: are few of the very short ones, and most may be in use.
+WIDE_ROUND = 6
 
 
 def _type_of(raw: Column) -> Column:
@@ -80,6 +83,12 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(F.reverse(F.split(digits, "")), part), F.lit(0), lambda a, x: a + x)
 
 
+def _is_entity(raw: Column, kind: Column) -> Column:
+    """Digits in groups of four may be anything, years say, so they need a Luhn sum."""
+    grouped = (kind == "CARD") & raw.rlike(r"\D")
+    return ~grouped | (_luhn(_digits(raw)) % 10 == 0)
+
+
 def _units(raw: Column, kind: Column) -> Column:
     """Entities of a match, as ``(type, norm)``; the words of a name are entities
     of their own, so that a surname alone is the same as in a full name."""
@@ -162,13 +171,15 @@ def _surrogate() -> Column:
     shown = F.regexp_replace(domain, _DOMAIN_END, "")
     no = F.lit(False)
     plain = _like(norm, stream, F.lit(0), kind == "SECRET HEX")
+    wide = F.col("round") >= WIDE_ROUND
+    longer = F.when(wide, F.concat(_draw(stream, F.lit(62)).cast("string"), _draw(stream, F.lit(63)).cast("string"))).otherwise("")
     email = F.concat(
-        _like(F.substring_index(norm, "@", 1), stream, F.lit(0), no), F.lit("@"),
+        _like(F.substring_index(norm, "@", 1), stream, F.lit(0), no), longer, F.lit("@"),
         # One domain has one surrogate, whoever writes from it.
         _like(shown, F.col("domain_stream"), F.lit(0), no), F.regexp_extract(domain, _DOMAIN_END, 0),
     )
     ip = F.array_join(
-        F.transform(F.split(norm, r"\."), lambda c, i: F.when(F.length(c) == 3, 100 + _draw(stream, i) % 156).when(F.length(c) == 2, 10 + _draw(stream, i) % 90).otherwise(1 + _draw(stream, i) % 9).cast("string")),
+        F.transform(F.split(norm, r"\."), lambda c, i: F.when(wide, 1 + _draw(stream, i) % 254).when(F.length(c) == 3, 100 + _draw(stream, i) % 156).when(F.length(c) == 2, 10 + _draw(stream, i) % 90).otherwise(1 + _draw(stream, i) % 9).cast("string")),
         ".",
     )
     body = _like(norm, stream, F.lit(1), no)
@@ -270,6 +281,7 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text", count_co
     hits = docs.where(found).select(*columns, F.split(text, ANY).alias("_pii_between"), F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1)).alias("_pii_raw"))
     hits = materialize(hits.withColumn("_pii_row", F.monotonically_increasing_id()), "pii-hits")
     matches = hits.select("_pii_row", F.posexplode("_pii_raw").alias("idx", "raw")).withColumn("kind", _type_of(F.col("raw")))
+    matches = matches.where(_is_entity(F.col("raw"), F.col("kind")))
     units = matches.select("_pii_row", "idx", "raw", "kind", F.posexplode(_units(F.col("raw"), F.col("kind"))).alias("at", "unit"))
     units = units.select("_pii_row", "idx", "raw", "kind", "at", "unit.type", "unit.norm").withColumn("key", F.concat_ws(" ", "type", "norm"))
     units = materialize(units, "pii-units")
@@ -279,10 +291,11 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text", count_co
     whole = joined.groupBy("_pii_row", "idx", "raw", "kind").agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("v"))
     shown = whole.select("_pii_row", "idx", _render(F.col("raw"), F.col("kind"), F.transform("v", lambda x: x.value)).alias("shown"))
     by_row = shown.groupBy("_pii_row").agg(F.sort_array(F.collect_list(F.struct("idx", "shown"))).alias("_pii_shown"))
+    by_row = by_row.withColumn("_pii_shown", F.map_from_entries("_pii_shown"))
     filled = F.array_join(
-        F.transform("_pii_between", lambda piece, i: F.concat(piece, F.coalesce(F.try_element_at(F.col("_pii_shown"), i + 1).shown, F.lit("")))), ""
+        F.transform("_pii_between", lambda piece, i: F.concat(piece, F.coalesce(F.try_element_at(F.col("_pii_shown"), i), F.get(F.col("_pii_raw"), i), F.lit("")))), ""
     )
-    out = hits.join(by_row, "_pii_row").withColumn("_pii_text", filled)
-    count = [F.size("_pii_raw").alias(count_col)] if count_col else []
+    out = hits.join(by_row, "_pii_row", "left").withColumn("_pii_text", filled)
+    count = [F.coalesce(F.cardinality("_pii_shown"), F.lit(0)).cast("int").alias(count_col)] if count_col else []
     replaced = out.select(*[F.col("_pii_text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], *count)
     return untouched.unionByName(replaced)

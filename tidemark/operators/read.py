@@ -127,6 +127,7 @@ def neighbours(probes: DataFrame, keys: DataFrame, probe: str, key: str, buckets
     w = Window.partitionBy("b")
     own = F.when(F.col("is_key") == 1, F.col("k"))
     lt = F.last(own, True).over(w.orderBy("k", "is_key").rowsBetween(Window.unboundedPreceding, -1))
-    ge = F.first(own, True).over(w.orderBy("k", "is_key").rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    # Descending, as a frame up to the end of a partition takes quadratic time.
+    ge = F.last(own, True).over(w.orderBy(F.desc("k"), F.desc("is_key")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     out = rows.withColumn("lt", lt).withColumn("ge", ge).where("is_key = 0").join(F.broadcast(edges), "b")
     return out.select(F.col("k").alias(probe), F.coalesce("lt", "edge_lt").alias("below"), F.coalesce("ge", "edge_ge").alias("at_or_above"))

@@ -46,6 +46,25 @@ def test_pieces_follow_the_pattern():
     assert "".join(cut) == "ab  cd " * 100 and len(cut) > 5
 
 
+def test_hash_table_and_coder_limits():
+    rng = np.random.default_rng(0)
+    table_, known = wordsplit.HashTable(4), {}
+    for _ in range(30):
+        keys = np.unique(rng.integers(0, 5000, 200, dtype=np.uint64) * np.uint64(1 << 50))
+        found_ = table_.find(keys)
+        assert [known.get(k, -1) for k in keys.tolist()] == found_.tolist()
+        new = keys[found_ < 0]
+        table_.add(new, np.arange(len(known), len(known) + len(new)))
+        known |= dict(zip(new.tolist(), range(len(known), len(known) + len(new)), strict=True))
+    calls = []
+    coder = wordsplit.PieceCoder(lambda words: calls.append(words) or [[len(w)] * 2 for w in words], limit=3)
+    texts = ["a bb ccc", "a bb", "", "dddd a"] * 3
+    for _ in range(2):
+        got = {k: ids.tolist() for k, ids in coder.ids(texts)}
+        assert got == {k: [n for w in t.split(" ") if w for n in [len(w) + (not t.startswith(w))] * 2] for k, t in enumerate(texts)}
+    assert len(calls) == 2  # the table was emptied in between
+
+
 # Chosen-path join
 
 

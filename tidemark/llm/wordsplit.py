@@ -136,11 +136,56 @@ def pieces(parts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
     return joined, starts, ends, span_hashes(c, starts, ends)
 
 
+class HashTable:
+    """64-bit keys to places, in two arrays: a fifth of a dictionary's memory.
+    Whole arrays of keys are looked up and put in at once, by linear probing."""
+
+    def __init__(self, bits: int = 16):
+        self.bits, self.count = bits, 0
+        self.keys, self.places = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Places of the keys, -1 for unknown ones."""
+        out = np.full(len(keys), -1, np.int64)
+        todo, at = np.arange(len(keys)), self._home(keys)
+        while len(todo):
+            place = self.places[at]
+            hit = (place >= 0) & (self.keys[at] == keys[todo])
+            out[todo[hit]] = place[hit]
+            on = (place >= 0) & ~hit
+            todo, at = todo[on], (at[on] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def add(self, keys: np.ndarray, places: np.ndarray) -> None:
+        """Put in distinct keys that aren't there."""
+        if (self.count + len(keys)) * 10 > 7 << self.bits:
+            old_keys, old = self.keys, self.places
+            while (self.count + len(keys)) * 10 > 7 << self.bits:
+                self.bits += 1
+            self.count = 0
+            self.keys, self.places = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
+            self.add(old_keys[old >= 0], old[old >= 0])
+        todo, at = np.arange(len(keys)), self._home(keys)
+        while len(todo):
+            free = np.flatnonzero(self.places[at] < 0)
+            slots, first = np.unique(at[free], return_index=True)  # one key for each free slot
+            won = free[first]
+            self.keys[slots], self.places[slots] = keys[todo[won]], places[todo[won]]
+            rest = np.ones(len(todo), bool)
+            rest[won] = False
+            todo, at = todo[rest], (at[rest] + 1) & ((1 << self.bits) - 1)
+        self.count += len(keys)
+
+
 class PieceCoder:
     """Ids of whole texts; each distinct piece goes to ``encode`` once.
 
     ``encode`` maps a list of pieces to a list of id lists.  The table of known
-    pieces is emptied when it holds ``limit`` of them, which bounds memory.
+    pieces is emptied when it holds ``limit`` of them, or their ids are very many,
+    which bounds memory.
     """
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 1_200_000):
@@ -148,11 +193,11 @@ class PieceCoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known = HashTable()
         self.pool = np.zeros(1 << 20, np.uint32)
         self.used = 0
-        self.off = np.zeros(1 << 16, np.int64)
-        self.len = np.zeros(1 << 16, np.int64)
+        self.off = np.zeros(1 << 16, np.int32)
+        self.len = np.zeros(1 << 16, np.int32)
         self.count = 0
 
     def _add(self, ids: list[list[int]]) -> np.ndarray:
@@ -171,19 +216,18 @@ class PieceCoder:
         return slots
 
     def slots(self, joined: str, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        if self.count > self.limit:
+        if self.count > self.limit or self.used > 1 << 24:
             self.clear()
         codes, keys = pd.factorize(hashes)
         at = np.zeros(len(keys), np.int64)
         at[codes[::-1]] = np.arange(len(codes))[::-1]
-        known = self.known
-        slot = np.fromiter((known.get(k, -1) for k in keys.tolist()), np.int64, len(keys))
+        slot = self.known.find(keys)
         missing = np.flatnonzero(slot < 0)
         if len(missing):
             at = at[missing]
             new = self._add(self.encode([joined[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]))
             slot[missing] = new
-            known.update(zip(keys[missing].tolist(), new.tolist(), strict=True))
+            self.known.add(keys[missing], new)
         out = slot[codes]
         long = np.flatnonzero(ends - starts > LONGEST)
         if len(long):
@@ -197,7 +241,7 @@ class PieceCoder:
         for owners, parts in chunks(texts):
             joined, starts, ends, hashes = pieces(parts)
             slot = self.slots(joined, starts, ends, hashes)
-            lens = self.len[slot]
+            lens = self.len[slot].astype(np.int64)
             upto = np.cumsum(lens)
             total = int(upto[-1]) if len(upto) else 0
             flat = self.pool[np.repeat(self.off[slot] - (upto - lens), lens) + np.arange(total)]

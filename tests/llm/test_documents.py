@@ -120,6 +120,15 @@ def test_join_large_group_of_near_copies(spark):
     assert all(n <= links[d] for d, _, n in got)
 
 
+def test_join_two_tight_clusters(spark):
+    """Both clusters share most nodes with the same members, and each node has to be split on its own."""
+    rng = np.random.default_rng(0)
+    one = [f"w{x}" for x in rng.integers(0, 10**6, 1200)]
+    two = one[:1080] + [f"x{x}" for x in rng.integers(0, 10**6, 120)]
+    rows = [(50 * j + k, " ".join([*words, f"n{k}{j}"])) for j, words in enumerate((one, two)) for k in range(50)]
+    assert found(chosen_path.ngram_jaccard_join(table(spark, rows))) == brute(rows) == Counter({(k, 0, 99): 1 for k in range(100)})
+
+
 def test_join_in_blocks():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**62, 100, dtype=np.uint64)

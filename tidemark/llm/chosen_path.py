@@ -161,7 +161,8 @@ def candidate_nodes(sets: DataFrame, runs: int, depth: int, small: int) -> DataF
     found = None
     for d in range(1, depth + 1):
         total = level.count()
-        # Nodes with the same members give the same pairs, so one of them is enough.
+        # Nodes with the same members give the same pairs, so one of them is enough to
+        # compare; all are split, as each samples other positions.
         members = (F.expr("bit_xor(xxhash64(vid))").alias("x"), F.expr("bit_xor(xxhash64(vid, 1L))").alias("y"))
         stats = materialize(level.groupBy("node").agg(F.count("*").alias("n"), *members).where("n > 1"), f"nodes-{d}")
         once = stats.groupBy("x", "y", "n").agg(F.min("node").alias("node")).select("node", "n")
@@ -171,7 +172,7 @@ def candidate_nodes(sets: DataFrame, runs: int, depth: int, small: int) -> DataF
         found = part if found is None else found.unionByName(part)
         if d == depth or stats.where(F.col("n") > small).isEmpty():
             break
-        more = materialize(once.where(F.col("n") > small), f"split-{d}")
+        more = materialize(stats.where(F.col("n") > small).select("node", "n"), f"split-{d}")
         inside = join_groups(level, more, "node", "n", total).select("node", "vid")
         level = materialize(_extend(inside.join(sets.select("vid", "low"), "vid")), f"paths-{d + 1}")
     return materialize(found, "nodes")

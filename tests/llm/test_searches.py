@@ -71,3 +71,20 @@ def test_inner_products_odd_rows(spark):
     got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in mips_norm.top_k(vectors(spark, rows + ODD)).collect()}
     assert [got[0, k] for k in range(1, 5)] == [(-3, 0), (11, 0), (50, 0), (4, -3 * 65536)]
     assert mips_norm.top_k(vectors(spark, [])).count() == 0
+
+
+def test_an_id_repeated_often_counts_once(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(300, 8))
+    x[7] = 3 * x[0]  # the best and longest for query 0, and the last to be near it
+    x[9] = x[0] + 0.001
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)] + [(7, [float(c) for c in x[7]])] * 20 + [(9, [float(c) for c in x[9]])] * 150
+    ints = np.floor(256 * x.astype(np.float32).astype(float)).astype(np.int64)
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in mips_norm.top_k(vectors(spark, rows)).collect()}
+    for q in range(0, 300, 50):
+        want = sorted((-int(ints[v] @ ints[q]), v) for v in range(300) if v != q)[:5]
+        assert [got[q, k] for k in range(1, 6)] == [(v, -n) for n, v in want]
+    found = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in ann_mih.nearest(vectors(spark, rows)).collect()}
+    assert set(found) == {(q, k) for q in (0, 100, 200) for k in range(1, 11)} and found[0, 1][0] == 9
+    hits = sum(len({found[q, k][0] for k in range(1, 11)} & {v for _, v in sorted((np.linalg.norm(x[q] - x[v]), v) for v in range(300) if v != q)[:10]}) for q in (0, 100, 200))
+    assert hits >= 27

@@ -53,18 +53,35 @@ def codes_of(vecs: np.ndarray, mean: np.ndarray, rotation: np.ndarray) -> np.nda
 
 
 class MultiIndex:
-    """For every substring, the rows of a block in order of its value."""
+    """For every substring, the rows of a block in order of its value.
 
-    def __init__(self, codes: np.ndarray):
+    ``ids`` are those of the rows, where some repeat.
+    """
+
+    def __init__(self, codes: np.ndarray, ids: np.ndarray | None = None):
         self.codes = codes
+        self.owner = None
+        if ids is not None:
+            known, owner = np.unique(ids, return_inverse=True)
+            if len(known) < len(ids):
+                self.owner, self.owners = owner, len(known)
         n, self.m = codes.shape
         self.rows = np.argsort(codes, axis=0, kind="stable").T.astype(np.int32)
         counts = np.array([np.bincount(codes[:, j], minlength=256) for j in range(self.m)])
         self.stop = np.cumsum(counts, axis=1)
         self.start = self.stop - counts
 
+    def _by_id(self, distance: np.ndarray) -> np.ndarray:
+        """The least distance of each id."""
+        if self.owner is None:
+            return distance
+        out = np.full(self.owners, 255 * self.m, np.int32)
+        np.minimum.at(out, self.owner, distance)
+        return out
+
     def within(self, code: np.ndarray, least: int) -> np.ndarray:
-        """Rows of all codes within the smallest radius that holds ``least`` rows."""
+        """Rows of all codes within the smallest radius that holds ``least`` rows,
+        those of one id counted once."""
         n = len(self.codes)
         distance = np.full(n, 255 * self.m, np.int32)
         for s in range(9):
@@ -82,8 +99,10 @@ class MultiIndex:
                 hit = np.flatnonzero(new)
                 distance[hit] = np.bitwise_count(self.codes[hit] ^ code).sum(1)
             radius = self.m * (s + 1) - 1
-            if np.count_nonzero(distance <= radius) >= min(least, n):
-                kth = np.partition(distance, min(least, n) - 1)[min(least, n) - 1]
+            each = self._by_id(distance)
+            want = min(least, len(each))
+            if np.count_nonzero(each <= radius) >= want:
+                kth = np.partition(each, want - 1)[want - 1]
                 return np.flatnonzero(distance <= kth)
         return np.arange(n)
 
@@ -114,13 +133,14 @@ def nearest(vectors: DataFrame, k: int = 10, query_step: int = 100, bits: int =
         x = np.frombuffer(row["vecs"], "<f8").reshape(len(ids), dim)
         q_ids = np.frombuffer(row["q_ids"], "<i8")
         q = np.frombuffer(row["q_vecs"], "<f8").reshape(len(q_ids), dim)
-        multi = MultiIndex(codes_of(x, mean, rotation))
+        multi = MultiIndex(codes_of(x, mean, rotation), ids)
         out: list[tuple] = []
         for qid, qv, code in zip(q_ids, q, codes_of(q, mean, rotation), strict=True):
             rows = multi.within(code, max(TIMES * k, int(PART * len(ids))) + 1)
             rows = rows[ids[rows] != qid]
             score = np.sqrt(((x[rows] - qv) ** 2).sum(1))
-            top = np.lexsort((ids[rows], score))[:k]
+            top = np.lexsort((ids[rows], score))
+            top = top[np.sort(np.unique(ids[rows][top], return_index=True)[1])][:k]  # a repeated id counts once
             out.append((np.full(len(top), qid), ids[rows][top], score[top]))
         return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else ((), (), ())
 

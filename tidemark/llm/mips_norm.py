@@ -37,10 +37,10 @@ def rotation_of(sample: np.ndarray) -> np.ndarray:
 
 
 def scan(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, rotation: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, scores) of the ``k`` best of a block for each query that can be
-    among the best overall, -1 and the least long where there are fewer.
+    """(ids, scores) of the ``k`` best distinct ids of a block for each query that
+    can be among the best overall, -1 and the least long where there are fewer.
 
-    ``floor`` holds a score that ``k`` other vectors are known to reach.
+    ``floor`` holds a score that ``k`` other ids are known to reach.
     """
     dim = x.shape[1]
     least = np.iinfo(np.int64).min
@@ -76,8 +76,11 @@ def scan(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, rotat
             n = live[r]
             score = np.concatenate([best_s[n], x[own].astype(np.int64) @ q[n].astype(np.int64)])
             both = np.concatenate([best_i[n], ids[own]])
-            top = np.lexsort((both, ~score))[:k]  # ~: descending, and defined for the least long too
-            best_s[n], best_i[n] = score[top], both[top]
+            top = np.lexsort((both, ~score))  # ~: descending, and defined for the least long too
+            # A repeated id counts once, with its best score, before the k best are taken.
+            top = top[np.sort(np.unique(both[top], return_index=True)[1])][:k]
+            best_s[n], best_i[n] = least, -1
+            best_s[n, : len(top)], best_i[n, : len(top)] = score[top], both[top]
     return best_i, best_s
 
 

@@ -149,6 +149,20 @@ def test_keep_one(spark):
     assert Counter(r.doc_id for r in kept.collect()) == Counter([1, 2, 3, 4, 5, 6, None, 8, 10, 11])
 
 
+@pytest.mark.parametrize("heavy", [400, 1])
+def test_keep_one_decides_by_text(spark, monkeypatch, heavy):
+    monkeypatch.setattr(chosen_path, "HEAVY", heavy, raising=False)
+    a, b, c = "a b c d e f g h", "one two three four five six", "p q r s t u v w x y z"
+    near = " ".join(f"w{k}" for k in range(100))
+    rows = [(1, a), (5, a), (5, b), (6, c), (6, c), (6, c), (6, c), (7, "q"), (7, "r"), (7, "r"), (8, "")] + [(8, "")] * 2 + [(9, None), (9, None), (None, a), (None, a)]
+    rows += [(20, near), (20, near + " end"), (20, near + " end"), (21, near), (22, near.upper())]
+    kept = Counter((r.doc_id, r.text) for r in chosen_path.keep_one(table(spark, rows)).collect())
+    least = {n for d, n in kept if d == 20}
+    assert len(least) == 1 and least < {near, near + " end"}
+    want = [(1, a), (5, b), (6, c), (7, "q"), (7, "r"), (8, ""), (9, None), (None, a), (None, a), (20, *least)]
+    assert kept == Counter(want)
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(0, 60)] + [(100, 101), (101, 100), (5, 5), (None, 3), (7, None)] + [(200, 200 + k) for k in range(1, 50)]
     got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}

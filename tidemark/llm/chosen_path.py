@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .quality_ftrl import _mix as mix
 from .scratch import materialize
-from .skew import join_groups
+from .skew import HEAVY, join_groups
 from .wordsplit import SPACE, char_classes, chunks, code_points, span_hashes
 
 N, SIMILARITY = 5, 0.8
@@ -116,7 +116,7 @@ def roots(low: np.ndarray, runs: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """``(doc_id, size, sig, low)``: size, digest and min-hashes of each set."""
+    """``(doc_id, text_hash, size, sig, low)``: hash of each text; size, digest and min-hashes of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -126,9 +126,10 @@ def sketches(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
                 if len(words):
                     s = shingles(words, n)
                     size[k], sig[k], low[k] = len(s), set_digest(s), min_hashes(s).tobytes()
-            yield pa.record_batch([b.column(0), pa.array(size, pa.int64()), pa.array(sig, pa.binary()), pa.array(low, pa.binary())], names=["doc_id", "size", "sig", "low"])
+            yield pa.record_batch([b.column(0), b.column(2), pa.array(size, pa.int64()), pa.array(sig, pa.binary()), pa.array(low, pa.binary())], names=["doc_id", "text_hash", "size", "sig", "low"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, size long, sig binary, low binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, size long, sig binary, low binary")
 
 
 def _low(column: pa.Array) -> np.ndarray:
@@ -305,9 +306,16 @@ def ngram_jaccard_join(docs: DataFrame, n: int = N, threshold: float = SIMILARIT
     other texts are documents of their own.  Other columns are ignored; an empty
     table gives no rows.
     """
+    return _classes(docs, n, threshold, runs, depth, small, id_col, text_col).select("doc_id", "class_id", "n_links")
+
+
+def _classes(docs: DataFrame, n: int, threshold: float, runs: int, depth: int, small: int, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, text_hash, root, class_id, n_links`` for every row; ``root`` is the
+    number of the class, as two classes may begin with the same id, or null where
+    a row isn't compared."""
     sk = materialize(sketches(docs, n, id_col, text_col), "sketches")
     compared = (F.col("size") > 0) & F.col("doc_id").isNotNull()
-    apart = sk.where(~compared).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    apart = sk.where(~compared).select("doc_id", "text_hash", F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     rows = sk.where(compared)
     firsts = rows.groupBy("sig").agg(F.min(F.struct("doc_id", "low")).alias("f"), F.count("*").alias("copies"))
     sets = materialize(firsts.select("sig", F.col("f.doc_id").alias("rep"), F.col("f.low").alias("low"), "copies"), "sets")
@@ -348,21 +356,47 @@ def ngram_jaccard_join(docs: DataFrame, n: int = N, threshold: float = SIMILARIT
     known = materialize(known.withColumn("root", F.coalesce("root", "vid")), "set-links")
     # Roots are numbers of sets; the class is named by its smallest document.
     names = known.where("links is not null").groupBy("root").agg(F.min("rep").alias("first"), F.count("*").alias("size"))
-    single = known.where("links is null").select("sig", "copies", F.col("rep").alias("class_id"), (F.col("copies") - 1).alias("n_links"))
+    single = known.where("links is null").select("sig", "copies", "root", F.col("rep").alias("class_id"), (F.col("copies") - 1).alias("n_links"))
     inside = known.where("links is not null")
     joined = join_groups(inside, materialize(names, "class-names"), "root", "size", max(1, inside.count()))
-    info = single.unionByName(joined.select("sig", "copies", F.col("first").alias("class_id"), (F.col("links") + F.col("copies") - 1).alias("n_links")))
+    info = single.unionByName(joined.select("sig", "copies", "root", F.col("first").alias("class_id"), (F.col("links") + F.col("copies") - 1).alias("n_links")))
     info = materialize(info, "set-classes")
-    out = join_groups(rows.select("doc_id", "sig"), info, "sig", "copies", rows.count())
-    return out.select("doc_id", "class_id", "n_links").unionByName(apart)
+    out = join_groups(rows.select("doc_id", "text_hash", "sig"), info, "sig", "copies", rows.count())
+    return out.select("doc_id", "text_hash", "root", "class_id", "n_links").unionByName(apart)
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
-    """The rows of ``docs`` that are the first of their class, all columns kept.
+def keep_one(docs: DataFrame, n: int = N, threshold: float = SIMILARITY, runs: int = RUNS, depth: int = DEPTH, small: int = SMALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each class, all columns kept: of the rows with the
+    smallest id one of those with the smallest text hash.
 
-    Of rows that repeat one id, the one with the smallest text hash stays; rows
-    with a null id all stay.
+    Texts decide, not ids: a text whose id has another text that goes may stay.
+    Null, empty and blank texts are no copies of others, so only repeats of both
+    id and text go; rows with a null id all stay.
     """
-    found = ngram_jaccard_join(docs, id_col=id_col, **kw)
-    others = materialize(found.where(F.col("class_id") != F.col("doc_id")).select(F.col("doc_id").alias(id_col)).distinct(), "copies")
-    return docs.join(others, id_col, "left_anti")
+    found = _classes(docs, n, threshold, runs, depth, small, id_col, text_col).where("doc_id is not null")
+    # An id and a text belong to one class.
+    texts = found.groupBy("doc_id", "text_hash").agg(F.min("root").alias("root"), F.min("class_id").alias("class_id"), F.count("*").alias("n"))
+    texts = materialize(texts, "class-texts")
+    later = texts.where("doc_id <> class_id").select("doc_id", "text_hash", "n", F.lit(False).alias("stays"))
+    first = texts.where("doc_id = class_id")
+    several = first.where("root is not null").groupBy("root").agg(F.min("text_hash").alias("least"), F.count("*").alias("size")).where("size > 1")
+    others = join_groups(first, materialize(several, "class-several"), "root", "size", max(1, first.count())).where("text_hash <> least")
+    others = materialize(others.select("doc_id", "text_hash", "n", F.lit(False).alias("stays")), "class-others")
+    again = first.where("n > 1").select("doc_id", "text_hash", "n").join(others, ["doc_id", "text_hash"], "left_anti").withColumn("stays", F.lit(True))
+    # What is not one row to keep: copies, and repeats of a row of which one stays.
+    marked = materialize(later.unionByName(others).unionByName(again).withColumnsRenamed({"doc_id": "_doc", "text_hash": "_hash"}), "copies")
+    keys = ["_doc", "_hash"]
+    rows = docs.withColumns({"_doc": F.col(id_col).cast("long"), "_hash": F.xxhash64(text_col)})
+    is_heavy = F.col("n") > texts.agg(F.sum("n")).first()[0] / HEAVY if not marked.isEmpty() else F.lit(False)
+    heavy = marked.where(is_heavy).select(*keys, "stays")
+    light = marked.where(~is_heavy).select(*keys, "stays")
+    some_heavy = not heavy.isEmpty()
+    cold = rows.join(F.broadcast(heavy), keys, "left_anti") if some_heavy else rows
+    out = cold.join(light, keys, "left_anti").select(*docs.columns)
+    repeated = [rows.join(F.broadcast(heavy.where("stays")), keys)] if some_heavy else []
+    if not light.where("stays").isEmpty():
+        repeated.append(rows.join(light.where("stays"), keys))
+    for part in repeated:
+        one = part.groupBy(*keys).agg(F.any_value(F.struct(*docs.columns)).alias("_row"))
+        out = out.unionByName(one.select("_row.*"))
+    return out

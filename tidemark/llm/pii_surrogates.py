@@ -40,10 +40,10 @@ PATTERNS: dict[str, str] = {
     "PERSON": rf"(?<![\p{{L}}\p{{N}}])(?:{_MALE}|{_FEMALE}|{_EITHER})\.? {_NAME}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: No pattern matches without one of these signs or beginnings of a title, which
-#: are far quicker to look for than the patterns.
+#: No pattern matches without one of these signs or beginnings of a title or an
+#: access key, which are far quicker to look for than the patterns.
 SIGNS = "[0-9@=:]"
-BEGINNINGS = ["Mr", "Herr", "Monsieur", "Señor", "господин", "г-н", "Ms", "Miss", "Frau", "Mad", "Mme", "Mlle", "госпожа", "г-жа", "Dr", "Prof"]
+BEGINNINGS = ["Mr", "Herr", "Monsieur", "Señor", "господин", "г-н", "Ms", "Miss", "Frau", "Mad", "Mme", "Mlle", "госпожа", "г-жа", "Dr", "Prof", "AKIA", "ASIA"]
 
 #: Syllables of made-up names by script; endings by script and gender.
 _SYLLABLES = {

@@ -192,6 +192,42 @@ def test_archives(spark, tmp_path):
     assert warc_revisit.read_archives(spark, empty).count() == 0
 
 
+def explained(df):
+    import contextlib
+    import io
+
+    with contextlib.redirect_stdout(io.StringIO()) as out:
+        df.explain("formatted")
+    return out.getvalue()
+
+
+def test_archives_are_cut_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc_revisit, "FILE_BYTES", 100_000)
+    long = "z" * (24 << 20)
+    rows = [(k, f"u{k}", "small " * 30) for k in range(400)] + [(500, "l", long), (501, "l", long), (502, "m", long + "y")] + [(600, "t", "tie " * 300)] * 3 + [(599, "t", "tie " * 300)] * 2
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    path = warc_revisit.write_archives(pages, str(tmp_path / "warc"), staged_buckets=2)
+    sizes = sorted(p.stat().st_size for p in (tmp_path / "warc").glob("part-*"))
+    assert len(sizes) > 5 and [n for n in sizes if n > 101_000] == sizes[-2:]  # each long one alone, the copy without payload
+    got = Counter((r.page_id, r.record_type, r.refers_to) for r in warc_revisit.read_archives(spark, path).collect())
+    want = Counter([(k, "response", None) for k in range(400)] + [(500, "revisit", 501), (501, "response", None), (502, "response", None)])
+    assert got == want + Counter([(600, "response", None)] * 3 + [(599, "revisit", 600)] * 2)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("tidemark_pages")]
+
+
+def test_no_payload_is_shuffled(spark, tmp_path):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    staged = warc_revisit.stage(pages, "staged_pages", str(tmp_path / "staged"))
+    try:
+        with warc_revisit._conf(spark, spark_sql_autoBroadcastJoinThreshold="-1", spark_sql_requireAllClusterKeysForCoPartition="false"):
+            plan = explained(warc_revisit.records(warc_revisit.resolve(staged)))
+    finally:
+        spark.sql("DROP TABLE staged_pages")
+    moved = [part for part in plan.split("\n\n") if "Exchange" in part.split("\n")[0] and part.startswith("(")]
+    assert moved and not [part for part in moved if "payload#" in part]
+    assert "ShuffledHashJoin" in plan and "Bucketed: true" in plan
+
+
 # Packing
 
 

@@ -2,29 +2,45 @@
 
 Lineage is cut with tables written below ``spark.checkpoint.dir``.  A lost
 executor then costs the tasks it ran, never the stages before the table.
+
+Tables that nothing reads any more are deleted: an :func:`operator` removes at
+its end what its result doesn't read, and a :func:`scope` removes all that is
+left, once its results are written.
 """
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CONF = "spark.checkpoint.dir"
+#: Paths written in each open operator or scope, innermost last.
+_open: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session; a temporary one where unset (tests)."""
+    """The shared folder named by the session.  Where it is unset a temporary one
+    is made, which only a local session may do, as its tasks share one machine."""
     path = spark.sparkContext.getConf().get(CONF) or spark.conf.get(CONF, None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{CONF} has to name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set(CONF, path)
     return path.rstrip("/")
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+def new_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A path not used yet; what is written there is deleted in time unless ``keep``."""
+    path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    if _open and not keep:
+        _open[-1].append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -35,6 +51,56 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def read_by(df: DataFrame) -> set[str]:
+    """Folders that the plan of ``df`` reads."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    out: set[str] = set()
+    for k in range(leaves.size()):
+        leaf = leaves.apply(k)
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and hasattr(leaf.relation(), "location"):
+            roots = leaf.relation().location().rootPaths()
+            out |= {roots.apply(i).toUri().getPath().rstrip("/") for i in range(roots.size())}
+    return out
+
+
+def _bare(path: str) -> str:
+    return path.split("://", 1)[-1].rstrip("/") if path.startswith("file://") else "/" + path.split("://", 1)[-1].split("/", 1)[-1].rstrip("/") if "://" in path else path.rstrip("/")
+
+
+def operator(f: Callable) -> Callable:
+    """An operator's tables live as long as its result reads them."""
+
+    @functools.wraps(f)
+    def run(*args, **kw):
+        _open.append([])
+        try:
+            out = f(*args, **kw)
+        finally:
+            made = _open.pop()
+        held = read_by(out) if isinstance(out, DataFrame) else set()
+        spark = next(a for a in (*args, *kw.values()) if isinstance(a, DataFrame | SparkSession))
+        spark = spark.sparkSession if isinstance(spark, DataFrame) else spark
+        for path in made:
+            if _bare(path) not in held:
+                delete(spark, path)
+            elif _open:
+                _open[-1].append(path)
+        return out
+
+    return run
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """All tables written inside are deleted at its end."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            delete(spark, path)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)

@@ -5,28 +5,33 @@ least ``min_bytes`` bytes the one with the largest id is written as a
 ``response``; the others become ``revisit`` records that refer to it and hold
 fresh headers but no payload.
 
-Only digests are shuffled to find the originals.  The archives are written by
-Spark's own text writer, whose line separator is the end of a WARC record, so
-they can lie in any file system and a lost task leaves no half file.
+Payloads are never shuffled.  They are written once where they lie, in buckets
+named by the task that wrote them; their headers (id, url, digest, length) are
+shuffled by digest, and what comes out of that, the revisits, goes back to the
+buckets, whose rows stay where they are.  The archives are written by Spark's own
+text writer, so they can lie in any file system and a lost task leaves no half
+file.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import materialize, new_path
-from .skew import HEAVY
+from .scratch import materialize, new_path, operator
+from .skew import join_groups
 
 CRLF = "\r\n"
 RECORD_END = CRLF + CRLF
 #: Names and profile of the WARC 1.1 standard.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ID_PREFIX = "urn:tidemark:page:"
-#: Bytes an archive file holds about.
+#: Bytes an archive file holds at most, unless a single record has more.
 FILE_BYTES = 16 << 20
 
 
@@ -46,32 +51,57 @@ def _record_id(page_id: Column) -> Column:
     return F.concat(F.lit(f"<{ID_PREFIX}"), F.coalesce(page_id.cast("string"), F.lit("")), F.lit(">"))
 
 
-def resolve(pages: DataFrame, min_bytes: int = 1000, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """``page_id, url, payload, payload_bytes, digest, original, original_url``.
+@contextmanager
+def _conf(spark: SparkSession, **values: str) -> Iterator[None]:
+    old = {k.replace("_", "."): spark.conf.get(k.replace("_", "."), None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k.replace("_", "."), v)
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
-    ``original`` is null for pages to write as responses.
-    """
+
+def stage(pages: DataFrame, table: str, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", staged_buckets: int | None = None) -> DataFrame:
+    """``part, id, page_id, url, payload, payload_bytes, digest`` as a table in
+    buckets of ``part``, the number of the task that wrote a row, so that no row
+    moves and each task writes one bucket."""
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit("").cast("binary"))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), _uri(F.col(url_col)).alias("url"), payload.alias("payload"))
+    rows = pages.select(F.monotonically_increasing_id().alias("id"), F.col(id_col).cast("long").alias("page_id"), _uri(F.col(url_col)).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("digest", F.sha1("payload"))
-    large = F.col("payload_bytes") >= min_bytes
-    groups = rows.where(large).groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("o"), F.count("*").alias("copies"))
-    repeated = materialize(groups.where("copies > 1").select("digest", "o.page_id", F.col("o.url").alias("o_url"), "copies").withColumnRenamed("page_id", "o_id"), "originals")
+    rows = rows.withColumn("part", F.shiftright("id", 33))
+    spark = pages.sparkSession
+    buckets = staged_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # With writers side by side rows needn't be sorted by bucket before.
+    with _conf(spark, spark_sql_maxConcurrentOutputFileWriters="2"):
+        rows.write.option("compression", "zstd").option("path", path).bucketBy(buckets, "part").saveAsTable(table)
+    return spark.table(table)
+
+
+def revisits(headers: DataFrame, min_bytes: int) -> DataFrame:
+    """``part, id, original, original_url`` of the rows to write as revisits, from
+    headers alone.
+
+    Digests with over 1/400 of the repeated pages, of which there can't be many,
+    are resolved where their headers lie, the others by a shuffle.
+    """
+    large = headers.where(F.col("payload_bytes") >= min_bytes)
+    groups = large.groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("o"), F.count("*").alias("copies")).where("copies > 1")
+    repeated = materialize(groups.select("digest", F.col("o.page_id").alias("original"), F.col("o.url").alias("original_url"), "copies"), "originals")
     total = repeated.agg(F.sum("copies")).first()[0] or 0
-    heavy = F.col("copies") > total / HEAVY
-    # Fewer than HEAVY digests are heavy; their pages are resolved where they lie.
-    hot = repeated.where(heavy).limit(HEAVY).select("digest", F.col("o_id").alias("h_id"), F.col("o_url").alias("h_url"))
-    cold = repeated.where(~heavy).select(F.col("digest").alias("key"), F.col("o_id").alias("c_id"), F.col("o_url").alias("c_url"))
-    seen = rows.join(F.broadcast(hot), "digest", "left")
-    # Pages that need no more look-up get keys of their own, which spreads them.
-    key = F.when(large & F.col("h_id").isNull(), F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id").cast("string")))
-    seen = seen.withColumn("key", key).join(cold, "key", "left")
-    original = F.when(large, F.coalesce("h_id", "c_id"))
-    revisit = original.isNotNull() & ~F.col("page_id").eqNullSafe(original)
-    return seen.select(
-        "page_id", "url", "payload", "payload_bytes", "digest",
-        F.when(revisit, original).alias("original"), F.when(revisit, F.coalesce("h_url", "c_url")).alias("original_url"),
-    )
+    found = join_groups(large.select("part", "id", "page_id", "digest"), repeated, "digest", "copies", total)
+    return found.where(F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))).select("part", "id", "original", "original_url")
+
+
+def resolve(staged: DataFrame, min_bytes: int = 1000) -> DataFrame:
+    """``staged`` and ``original, original_url``, null for pages to write as responses.
+
+    The join needs ``spark.sql.requireAllClusterKeysForCoPartition`` off, which
+    lets the buckets of ``part`` serve for ``(part, id)``.
+    """
+    found = revisits(staged.select("part", "id", "page_id", "url", "payload_bytes", "digest"), min_bytes)
+    return staged.join(found.hint("shuffle_hash"), ["part", "id"], "left")
 
 
 def records(resolved: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
@@ -96,19 +126,42 @@ def records(resolved: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFram
     return resolved.select(F.concat(F.concat(head, http).cast("binary"), body).alias("record"))
 
 
+def _archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of a task put together in archives of about :data:`FILE_BYTES`,
+    one row each; a larger record is an archive of its own."""
+    held: list[bytes] = []
+    size = 0
+    for b in batches:
+        for x in b.column(0):
+            record = x.as_buffer().to_pybytes()
+            if held and size + len(record) > FILE_BYTES:
+                yield pa.record_batch([pa.array([RECORD_END.encode().join(held)], pa.binary())], names=["content"])
+                held, size = [], 0
+            held.append(record)
+            size += len(record) + len(RECORD_END)
+    if held:
+        yield pa.record_batch([pa.array([RECORD_END.encode().join(held)], pa.binary())], names=["content"])
+
+
+@operator
 def write_archives(pages: DataFrame, path: str | None = None, min_bytes: int = 1000, **cols) -> str:
     """Write all pages as archives below ``path`` and return it.
 
     Null payload: empty.  Null url: an empty URI.  A null id has an empty name.
     Repeated rows each give a record; those with the largest id of their payload
     are all responses.  Other columns are ignored; an empty table gives no record.
+    Files are cut by their bytes, so very long payloads stand alone.
     """
     spark = pages.sparkSession
-    path = path or new_path(spark, "warc")
-    size = F.avg(F.octet_length(F.col(cols.get("payload_col", "html")).cast("binary")))
-    mean = pages.agg(size).first()[0] or 0
-    out = records(resolve(pages, min_bytes, **cols)).select(F.col("record").cast("string").alias("value"))
-    out.write.option("lineSep", RECORD_END).option("maxRecordsPerFile", max(1, int(FILE_BYTES // (mean + 600)))).text(path)
+    path = path or new_path(spark, "warc", keep=True)
+    table = f"tidemark_pages_{uuid.uuid4().hex}"
+    staged = stage(pages, table, new_path(spark, "pages"), **cols)
+    try:
+        with _conf(spark, spark_sql_requireAllClusterKeysForCoPartition="false"):
+            files = records(resolve(staged, min_bytes)).mapInArrow(_archives, "content binary")
+            files.select(F.col("content").cast("string").alias("value")).write.option("lineSep", RECORD_END).option("maxRecordsPerFile", 1).text(path)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
     return path
 
 

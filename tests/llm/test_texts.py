@@ -258,3 +258,75 @@ def test_each_pattern_passes_the_first_look(spark):
     df = spark.createDataFrame([(k, t) for k, t in enumerate(alone)], "doc_id long, text string")
     got = {r.doc_id: r for r in pii_surrogates.replace_entities(df, "any", count_col="found").collect()}
     assert [t for k, t in enumerate(alone) if got[k].found < 1 or got[k].text == t] == []
+
+
+def plain_slots(text):
+    """Slots of words and word pairs by plain arithmetic."""
+    import regex
+
+    full = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & full
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & full
+        return x ^ (x >> 31)
+
+    def sign(c):
+        x = (c + 1) * 0xBF58476D1CE4E5B9 & full
+        return (x ^ (x >> 29)) * 0x94D049BB133111EB & full
+
+    def word(w):
+        total = sum(sign(ord(c)) * pow(0x9E3779B97F4A7C15, k, 1 << 64) for k, c in enumerate(w)) & full
+        return mix(total ^ (len(w) << 48 & full))
+
+    words = [word(w) for w in regex.findall(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\p{White_Space}]+", text)]
+    return [h % quality_ftrl.SLOTS for h in words + [mix((a * 3 + b) & full) for a, b in zip(words, words[1:])]]
+
+
+def test_features_and_scores_are_the_plain_ones(spark):
+    import math
+    from collections import Counter
+
+    docs, labels = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    vectors = {}
+    for d, text in texts.items():
+        counts = Counter(plain_slots(text))
+        raw = {s: 1 + math.log(n) for s, n in counts.items()}
+        size = math.sqrt(sum(v * v for v in raw.values()))
+        vectors[d] = {s: v / size for s, v in raw.items()}
+    known = list(quality_ftrl.slots_of(list(texts.values())))
+    assert [sorted(s.tolist()) for _, s in known] == [sorted(plain_slots(t)) for t in texts.values()]
+    w, bias = quality_ftrl.train_on_labels(docs, labels)
+    for r in quality_ftrl.quality(docs, labels).collect():
+        x = bias + sum(w[s] * v for s, v in vectors[r.doc_id].items())
+        assert r.score == pytest.approx(1 / (1 + math.exp(-x)), rel=1e-6)
+
+
+def test_the_sample_is_bounded(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    ids = spark.range(30_000)
+    hot = ids.select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("hot words "), (F.col("id") % 20_000).cast("string")).alias("text"), F.lit(1).alias("label"))
+    rest = spark.range(50).select((F.col("id") + 100).alias("doc_id"), F.lit("BAD!! stuff").alias("text"), F.lit(0).alias("label"))
+    seen = []
+    real = quality_ftrl.materialize
+
+    def spy(df, name):
+        out = real(df, name)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(quality_ftrl, "materialize", spy)
+    quality_ftrl.fit(hot.union(rest))
+    quality_ftrl.fit(hot.union(rest), rows=40, slots=60)
+    w, _ = quality_ftrl.fit(hot.union(rest), rows=40, slots=1)
+    assert seen == [12_000, 40, 40] and 0 < (w != 0).sum() <= 10
+
+
+def test_quality_with_dotted_columns(spark):
+    docs = spark.createDataFrame([(k, "fine words" if k % 2 else "BAD!!", 1, 2, "x") for k in range(40)], "doc_id long, text string, `a.b` int, score int, `_score``q` string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(40)], "doc_id long, quality int, toxic int")
+    kept = quality_ftrl.reject(docs, labels)
+    assert kept.columns == docs.columns and {tuple(r)[2:] for r in kept.collect()} == {(1, 2, "x")}
+    assert quality_ftrl.quality(docs, labels).count() == 40

@@ -19,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import materialize, operator
 from .wordsplit import LETTER, NUMBER, SPACE, char_classes, chunks, code_points, span_hashes
 
 SLOTS = 1 << 18
-#: Labelled documents the model is fitted on at most: those with the smallest hashes of their id.
-FIT_ROWS = 12_000
+#: Labelled documents the model is fitted on at most: those with the smallest hashes
+#: of their id.  Of these, as many as have this number of slots together.
+FIT_ROWS, FIT_SLOTS = 12_000, 12_000_000
 PASSES = 4
 #: Weight of the rarer label 0 in the gradient.
 REJECT_WEIGHT = 4.0
@@ -113,28 +115,31 @@ def sigmoid(x: float) -> float:
     return 1 / (1 + math.exp(-x)) if x >= 0 else math.exp(x) / (1 + math.exp(x))
 
 
-def fit(labelled: DataFrame, rows: int = FIT_ROWS, passes: int = PASSES) -> tuple[np.ndarray, float]:
+def fit(labelled: DataFrame, rows: int = FIT_ROWS, passes: int = PASSES, slots: int = FIT_SLOTS) -> tuple[np.ndarray, float]:
     """(weights, bias) from ``(doc_id, text, label)`` with label 0 or 1.
 
-    Texts are turned into slots where they lie; the sample (at most ``rows``
-    documents, each at most one entry a slot) meets in one task that learns
-    from them in the order of their hashes.
+    Repeats of id, text and label count once.  Texts are turned into slots where
+    they lie; the sample (at most ``rows`` documents, and ``slots`` slots unless the
+    first has more) meets in one task that learns from them in the order of their
+    hashes.
     """
-    chosen = labelled.where(F.col("label").isin(0, 1)).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id", "label").select("doc_id", "label").limit(rows)
-    known = labelled.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi").where(F.col("label").isin(0, 1))
+    keys = ["doc_id", "label", "text_hash"]
+    hashed = labelled.where(F.col("label").isin(0, 1)).select("doc_id", F.col("label").cast("int").alias("label"), F.xxhash64("text").alias("text_hash"), "text")
+    chosen = hashed.select(*keys).distinct().orderBy(F.xxhash64("doc_id"), *keys).limit(rows)
+    known = hashed.join(F.broadcast(chosen), keys, "left_semi").groupBy(*keys).agg(F.any_value("text").alias("text"))
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, labels = b.column(0).to_pylist(), b.column(2).to_pylist()
-            for k, slots in slots_of([t or "" for t in b.column(1).to_pylist()]):
-                at, v = vector_of(slots)
-                cols = [pa.array([ids[k]], pa.int64()), pa.array([labels[k]], pa.int32()), pa.array([at.astype("<i4").tobytes()]), pa.array([v.astype("<f4").tobytes()])]
-                yield pa.record_batch(cols, names=["doc_id", "label", "at", "v"])
+            for k, found in slots_of([t or "" for t in b.column(1).to_pylist()]):
+                at, v = vector_of(found)
+                cols = [pa.array([ids[k]], pa.int64()), pa.array([labels[k]], pa.int32()), b.column(3).slice(k, 1), pa.array([at.astype("<i4").tobytes()]), pa.array([v.astype("<f4").tobytes()])]
+                yield pa.record_batch(cols, names=["doc_id", "label", "text_hash", "at", "v"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = []
         for b in batches:
-            for label, at, v in zip(b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+            for label, at, v in zip(b.column(1).to_pylist(), b.column(3), b.column(4), strict=True):
                 seen.append((np.frombuffer(at.as_buffer(), "<i4"), np.frombuffer(v.as_buffer(), "<f4").astype(np.float64), label))
         model = Ftrl()
         rng = np.random.default_rng(1)
@@ -145,8 +150,19 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS, passes: int = PASSES) -> tupl
         at = np.flatnonzero(w)
         yield pa.record_batch([pa.array([at.astype("<i4").tobytes()]), pa.array([w[at].astype("<f8").tobytes()]), pa.array([model.bias()], pa.float64())], names=["at", "w", "bias"])
 
-    sample = known.select("doc_id", "text", F.col("label").cast("int").alias("label")).mapInArrow(featurize, "doc_id long, label int, at binary, v binary")
-    one = sample.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "label", "at")
+    features = known.select("doc_id", "text", "label", "text_hash").mapInArrow(featurize, "doc_id long, label int, text_hash long, at binary, v binary")
+    features = materialize(features.withColumn("h", F.xxhash64("doc_id")), "features")
+    order = ["h", "doc_id", "label", "text_hash"]
+    sizes = features.select(*order, (F.octet_length("at") / 4).cast("long").alias("slots")).collect()  # at most ``rows`` rows
+    total, last = 0, None
+    for r in sorted(sizes):
+        total += r.slots
+        if last is not None and total > slots:
+            break
+        last = tuple(r)[:4]
+    if last is not None:
+        features = features.where(F.struct(*order) <= F.struct(*[F.lit(x).cast(t) for x, t in zip(last, ("long", "long", "int", "long"), strict=True)]))
+    one = features.repartition(1).sortWithinPartitions(*order).select("doc_id", "label", "text_hash", "at", "v")
     w = np.zeros(SLOTS)
     bias = 0.0
     for r in one.mapInArrow(learn, "at binary, w binary, bias double").collect():
@@ -155,24 +171,26 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS, passes: int = PASSES) -> tupl
     return w, bias
 
 
-#: Column that holds scores beside a table's own columns.
-SCORE = "_quality_score"
+def quoted(names: list[str]) -> list[Column]:
+    """Columns of these very names, dots and all."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str], text_col: str = "text") -> DataFrame:
-    """Columns ``keep`` and :data:`SCORE`, the probability of label 1, of every whole text."""
+    """``doc, score``: the columns ``keep`` as one structure, in which no name can
+    clash, and the probability of label 1 of every whole text."""
     w, bias = model
-    source = docs.select(*keep, F.col(text_col).alias("_quality_text"))
-    schema = docs.select(*keep).schema.add(SCORE, "double")
+    source = docs.select(F.struct(*quoted(keep)).alias("doc"), *[c.alias("text") for c in quoted([text_col])])
+    schema = source.select("doc").schema.add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t or "" for t in b.column(b.num_columns - 1).to_pylist()]
+            texts = [t or "" for t in b.column(1).to_pylist()]
             out = np.zeros(len(texts))
             for k, slots in slots_of(texts):
                 at, v = vector_of(slots)
                 out[k] = sigmoid(float(w[at] @ v) + bias)
-            yield pa.record_batch([*b.columns[:-1], pa.array(out)], names=[*b.schema.names[:-1], SCORE])
+            yield pa.record_batch([b.column(0), pa.array(out)], names=["doc", "score"])
 
     return source.mapInArrow(run, schema)
 
@@ -192,6 +210,7 @@ def train_on_labels(docs: DataFrame, labels: DataFrame, **kw) -> tuple[np.ndarra
     return fit(docs.select("doc_id", "text").join(known, "doc_id"), **kw)
 
 
+@operator
 def quality(docs: DataFrame, labels: DataFrame, cut: float = CUT, **kw) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every document.
 
@@ -199,12 +218,13 @@ def quality(docs: DataFrame, labels: DataFrame, cut: float = CUT, **kw) -> DataF
     rows and other columns change nothing; an empty table gives no rows.
     """
     model = train_on_labels(docs, labels, **kw)
-    out = score(docs, model, ["doc_id"])
-    return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col(SCORE).alias("score"), (F.col(SCORE) >= cut).cast("int").alias("predicted"))
+    out = score(docs, model, ["doc_id"]).select("doc.*", "score")
+    return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 
+@operator
 def reject(docs: DataFrame, labels: DataFrame, cut: float = CUT, **kw) -> DataFrame:
-    """The rows of ``docs`` whose text scores at least ``cut``, all columns kept."""
+    """The rows of ``docs`` whose text scores at least ``cut``, all columns kept,
+    whatever their names; nulls, repeats and empty tables as in :func:`quality`."""
     model = train_on_labels(docs, labels, **kw)
-    out = score(docs, model, docs.columns)
-    return out.where(F.col(SCORE) >= cut).select(*docs.columns)
+    return score(docs, model, docs.columns).where(F.col("score") >= cut).select("doc.*")

@@ -313,6 +313,46 @@ def test_token_files(spark, hf, tmp_path, monkeypatch):
     assert vbyte_ids.token_index(spark, empty).count() == 0
 
 
+def test_ids_of_more_than_16_bits(spark, tmp_path):
+    """A vocabulary of 70,000 words, most of whose ids need a third byte."""
+    import json
+
+    words = ["".join(chr(97 + k // 26**i % 26) for i in range(4)) for k in range(70_000)]
+    vocab = tmp_path / "words.json"
+    model = {"type": "WordLevel", "vocab": {w: k for k, w in enumerate(words)}, "unk_token": words[0]}
+    vocab.write_text(json.dumps({"version": "1.0", "added_tokens": [], "normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}, "post_processor": None, "decoder": None, "model": model, "truncation": None, "padding": None}))
+    assert vbyte_ids.largest_id(str(vocab), 2) == 69_999 and vbyte_ids.id_type(69_999) == "<u4" and vbyte_ids.id_type(65_535) == "<u2"
+    with pytest.raises(ValueError):
+        vbyte_ids.largest_id(str(vocab), 1 << 32)
+    coder = Tokenizer.from_file(str(vocab))
+    rows = [(k, words[k * 7]) for k in range(9000)] + [(5, words[69_999]), (None, words[65_536])]
+    path = vbyte_ids.write_token_files(table(spark, rows), str(tmp_path / "t"), vocab=str(vocab), end_id=69_998)
+    want = sorted(((d, [*coder.encode(t, add_special_tokens=False).ids, 69_998]) for d, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    got = sorted(((r.doc_id, np.frombuffer(r.ids, "<u4").tolist()) for r in vbyte_ids.read_token_files(spark, path).collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert got == want and max(max(x) for _, x in want) == 69_999
+
+
+def test_an_id_of_many_rows_is_split(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(vbyte_ids, "FILE_IDS", 3000)
+    rows = [(k, "a b c") for k in range(300)] + [(150, f"hot row {k}") for k in range(6000)]
+    path = vbyte_ids.write_token_files(table(spark, rows), str(tmp_path / "t"))
+    ids = sorted(r.start for r in vbyte_ids.token_index(spark, path).collect())
+    index = sorted((r.start, r.n_tokens, r.doc_id) for r in vbyte_ids.token_index(spark, path).collect())
+    assert [a for a, *_ in index] == [0, *np.cumsum([n for _, n, _ in index])[:-1].tolist()] and ids[0] == 0
+    assert [d for *_, d in index] == sorted(d for d, _ in rows)
+    per_task = Counter(p.name.split("-")[1] for p in (tmp_path / "t/files").glob("part-*"))
+    assert len(per_task) == 4 and max(per_task.values()) <= 2 * min(per_task.values())  # 95 % of the rows have one id
+
+
+def test_prefix_sums(spark):
+    from tidemark.llm.prefix import prefix_sums
+
+    rows = [(k, (k * 37) % 11) for k in range(500)]
+    got = {r.k: r.s for r in prefix_sums(spark.createDataFrame(rows, "k long, v long"), "k", "v", "s").collect()}
+    assert got == {k: sum(v for j, v in rows if j < k) for k, _ in rows}
+    assert prefix_sums(spark.createDataFrame([], "k long, v long"), "k", "v", "s").count() == 0
+
+
 # Distinct-word BPE
 
 

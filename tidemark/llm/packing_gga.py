@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import materialize, operator
 from .vbyte_ids import END_ID, VOCAB_FILE
 from .wordsplit import hf_coder
 
@@ -301,6 +301,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, cell_items: int = CELL_ITE
     return small.join(where, "row").unionByName(alone)
 
 
+@operator
 def best_fit_packing(docs: DataFrame, capacity: int = CAPACITY, vocab: str | None = None, with_ids: bool = False, **kw) -> DataFrame:
     """Pack all documents into sequences of at most ``capacity`` ids.
 

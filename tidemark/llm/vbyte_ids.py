@@ -10,7 +10,8 @@ A file holds consecutive documents in ascending ``doc_id`` order::
     b"TMV1" | documents u32 | ids u64 | data bytes u64      (little-endian)
     doc_id i64 each | ids u32 each | control bytes | data bytes | b"\\n"
 
-The rank table of a corpus is a Parquet table beside the files.
+The rank table of a corpus is a Parquet table beside the files.  Ids may have up
+to 32 bits; how many the vocabulary needs decides how they are kept before.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import materialize, new_path
+from .prefix import prefix_sums
+from .scratch import materialize, new_path, operator
 from .wordsplit import hf_coder
 
 MAGIC = b"TMV1"
@@ -92,59 +94,97 @@ def unpack_file(content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc_ids, counts, decode_ranks(control, data, n)
 
 
+def largest_id(vocab: str, end_id: int) -> int:
+    """The largest id that documents can have; a vocabulary is small, so it is read here."""
+    from tokenizers import Tokenizer
+
+    out = max(end_id, max(Tokenizer.from_file(vocab).get_vocab(with_added_tokens=True).values(), default=0))
+    if not 0 <= end_id or out >= 1 << 32:
+        raise ValueError(f"ids need more than 32 bits: {end_id}, {out}")
+    return out
+
+
+def id_type(largest: int) -> str:
+    """What holds ids up to ``largest`` in as few bytes as two or four."""
+    return "<u2" if largest < 1 << 16 else "<u4"
+
+
 def tokenize(docs: DataFrame, vocab: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, ids)``: the ids of each whole text, as little-endian 16-bit
-    integers in a binary column, closed by ``end_id``.  Null text: empty."""
+    """``(doc_id, row, ids)``: the ids of each whole text, as integers of
+    :func:`id_type` in a binary column, closed by ``end_id``; ``row`` numbers the
+    rows.  Null text: empty."""
     path = vocab or public_tokenizers.path(VOCAB_FILE)
+    kind = id_type(largest_id(path, end_id))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = hf_coder(path)
+
+        def batch(out: list[bytes], first: int) -> pa.RecordBatch:
+            part = slice(first, first + len(out))
+            return pa.record_batch([keys[part], rows[part], pa.array(out, pa.binary())], names=["doc_id", "row", "ids"])
+
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            keys = b.column(0)
+            texts = [t or "" for t in b.column(2).to_pylist()]
+            keys, rows = b.column(0), b.column(1)
             out, first, held = [], 0, 0
             for k, ids in coder.ids(texts):
-                out.append(np.append(ids, np.uint32(end_id)).astype("<u2").tobytes())
+                out.append(np.append(ids, np.uint32(end_id)).astype(kind).tobytes())
                 held += len(out[-1])
                 if held > 4 << 20:
-                    yield pa.record_batch([keys.slice(first, len(out)), pa.array(out, pa.binary())], names=["doc_id", "ids"])
+                    yield batch(out, first)
                     out, first, held = [], k + 1, 0
             if out:
-                yield pa.record_batch([keys.slice(first, len(out)), pa.array(out, pa.binary())], names=["doc_id", "ids"])
+                yield batch(out, first)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
+    return keyed.mapInArrow(run, "doc_id long, row long, ids binary")
 
 
-def rank_table(tokens: DataFrame) -> DataFrame:
+def rank_table(tokens: DataFrame, largest: int) -> DataFrame:
     """``(id, n, rank)`` over the whole corpus: rank 0 is the most frequent id,
-    ties to the smaller id.  At most 65,536 rows, whatever the corpus."""
+    ties to the smaller id.  As many rows as the vocabulary at most, whatever the
+    corpus."""
+    kind = id_type(largest)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 16, np.int64)
+        total = np.zeros(largest + 1, np.int64)
         for b in batches:
             for x in b.column(0):
-                total += np.bincount(np.frombuffer(x.as_buffer(), "<u2"), minlength=1 << 16)
+                at, n = np.unique(np.frombuffer(x.as_buffer(), kind), return_counts=True)
+                total[at] += n
         seen = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(seen, pa.int32()), pa.array(total[seen])], names=["id", "n"])
+        yield pa.record_batch([pa.array(seen, pa.int64()), pa.array(total[seen])], names=["id", "n"])
 
-    counts = tokens.select("ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     rows = sorted(counts.collect(), key=lambda r: (-r.n, r.id))
-    return tokens.sparkSession.createDataFrame([(r.id, r.n, k) for k, r in enumerate(rows)], "id int, n long, rank int")
+    return tokens.sparkSession.createDataFrame([(r.id, r.n, k) for k, r in enumerate(rows)], "id long, n long, rank long")
+
+
+def _ids_by_rank(spark: SparkSession, path: str) -> np.ndarray:
+    rows = spark.read.parquet(f"{path}/ranks").select("rank", "id").collect()
+    out = np.zeros(len(rows), np.uint32)
+    for r in rows:
+        out[r.rank] = r.id
+    return out
 
 
+@operator
 def write_token_files(docs: DataFrame, path: str | None = None, vocab: str | None = None, **kw) -> str:
     """Write the ids of all documents below ``path`` and return it.
 
     ``path/files`` holds the files in ascending ``doc_id`` order of their names,
-    ``path/ranks`` the rank table.  Rows with a null ``doc_id`` come first;
-    repeated ids stand side by side; an empty table gives no file.
+    ``path/ranks`` the rank table.  Rows with a null ``doc_id`` come first (as does
+    -2**63, which stands for it); rows that repeat an id stand side by side in the
+    order of ``docs``, however many they are; an empty table gives no file.
     """
     spark = docs.sparkSession
-    path = path or new_path(spark, "token-files")
+    path = path or new_path(spark, "token-files", keep=True)
+    largest = largest_id(vocab or public_tokenizers.path(VOCAB_FILE), kw.get("end_id", END_ID))
+    kind = id_type(largest)
     tokens = materialize(tokenize(docs, vocab, **kw), "tokens")
-    ranks = rank_table(tokens)
+    ranks = rank_table(tokens, largest)
     ranks.coalesce(1).write.parquet(f"{path}/ranks")
-    to_rank = np.zeros(1 << 16, np.uint32)
+    to_rank = np.zeros(largest + 1, np.uint32)
     for r in ranks.collect():
         to_rank[r.id] = r.rank
 
@@ -154,7 +194,7 @@ def write_token_files(docs: DataFrame, path: str | None = None, vocab: str | Non
         size = 0
         for b in batches:
             for d, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ranks = to_rank[np.frombuffer(x.as_buffer(), "<u2")]
+                ranks = to_rank[np.frombuffer(x.as_buffer(), kind)]
                 if ids and size + len(ranks) > FILE_IDS:
                     yield pa.record_batch([pa.array([pack_file(ids, held)], pa.binary())], names=["content"])
                     ids, held, size = [], [], 0
@@ -166,8 +206,10 @@ def write_token_files(docs: DataFrame, path: str | None = None, vocab: str | Non
 
     # The text writer puts bytes down as they are; one row is one file.
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sorted_tokens = tokens.repartitionByRange(n, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"))
-    files = sorted_tokens.mapInArrow(write, "content binary")
+    # The row number splits ids that many rows repeat over several ranges.
+    order = (F.asc_nulls_first("doc_id"), F.asc("row"))
+    sorted_tokens = tokens.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    files = sorted_tokens.select("doc_id", "ids").mapInArrow(write, "content binary")
     files.select(F.col("content").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(f"{path}/files")
     return path
 
@@ -178,9 +220,7 @@ NULL_ID = -(1 << 63)
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """``(doc_id, ids)`` read back, ids as little-endian 32-bit integers in a binary column."""
-    to_id = np.zeros(1 << 16, np.uint32)
-    for r in spark.read.parquet(f"{path}/ranks").collect():
-        to_id[r.rank] = r.id
+    to_id = _ids_by_rank(spark, path)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -200,15 +240,14 @@ def _file_rows(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(f"{path}/files").where("length > 0").select("content", "path")
 
 
+@operator
 def token_index(spark: SparkSession, path: str) -> DataFrame:
     """``(doc_id, start, n_tokens, ids_crc32)`` of every document in the files at ``path``.
 
     Each file is decoded in one task; ``start`` then needs only the ids of the
-    files before, whose counts (one row a file) are summed by a window.
+    files before, whose counts (one row a file) are summed in two levels.
     """
-    to_id = np.zeros(1 << 16, np.uint32)
-    for r in spark.read.parquet(f"{path}/ranks").collect():
-        to_id[r.rank] = r.id
+    to_id = _ids_by_rank(spark, path)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -228,10 +267,5 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
     rows = materialize(_file_rows(spark, path).mapInArrow(read, "file string, doc_id long, at long, n_tokens long, ids_crc32 long"), "token-index")
     order = F.struct(F.when(F.col("doc_id").isNull(), F.lit(NULL_ID)).otherwise(F.col("doc_id")).alias("k"), F.col("file").alias("f"))
     sums = materialize(rows.groupBy("file").agg(F.sum("n_tokens").alias("n"), F.min(order).alias("first")), "file-sums")
-    # One row for millions of ids, so the counts of the files are summed up on the driver.
-    begin, total = [], 0
-    for r in sums.select("file", "n", "first").orderBy("first").toLocalIterator():
-        begin.append((r.file, total))
-        total += r.n
-    offsets = spark.createDataFrame(begin, "file string, begin long")
-    return rows.join(offsets, "file").select("doc_id", (F.col("begin") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    begin = prefix_sums(sums, "first", "n", "begin").select("file", "begin")
+    return rows.join(begin, "file").select("doc_id", (F.col("begin") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")

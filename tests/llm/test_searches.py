@@ -26,9 +26,42 @@ def test_multi_index_retrieves_every_code_within_the_radius():
             assert set(got) == set(np.flatnonzero(far <= radius))
 
 
-def test_nearest_recall(spark):
-    got = queries.op1_multi_index_hashing(spark, SF).toPandas()
-    x = {r[0]: np.array(r[1], float) for r in duckdb.sql(f"select vec_id, embedding from '{SF}/embeddings.parquet'").fetchall()}
+def test_an_index_is_stored_and_opened():
+    rng = np.random.default_rng(4)
+    codes, ids = rng.integers(0, 256, (300, 4), dtype=np.uint8), rng.integers(0, 200, 300)
+    made = ann_mih.MultiIndex(codes, ids)
+    again = ann_mih.MultiIndex.opened(*made.stored(), ids)
+    for q in codes[:10]:
+        assert made.within(q, 30).tolist() == again.within(q, 30).tolist()
+
+
+def test_blocks_that_cannot_reach_are_left_out(spark, monkeypatch):
+    """Short vectors stand in blocks of their own, which no pair then holds."""
+    monkeypatch.setattr(mips_norm, "BLOCK_ROWS", 100)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(800, 6)) * np.where(np.arange(800) % 8 == 0, 4.0, 0.01)[:, None]
+    df = vectors(spark, [(i, [float(c) for c in v]) for i, v in enumerate(x)])
+    seen = []
+    real = mips_norm.cells.search
+
+    def spy(queries, held, work, kind, reach):
+        seen.append((real(queries, held, lambda row: ([0], [0], [0]), kind, reach).count(), real(queries, held, lambda row: ([0], [0], [0]), kind).count()))
+        return real(queries, held, work, kind, reach)
+
+    monkeypatch.setattr(mips_norm.cells, "search", spy)
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in mips_norm.top_k(df, query_step=80).collect()}
+    ints = np.floor(256 * x.astype(np.float32).astype(float)).astype(np.int64)
+    for q in range(0, 800, 80):
+        want = sorted((-int(ints[v] @ ints[q]), v) for v in range(800) if v != q)[:5]
+        assert [got[q, k] for k in range(1, 6)] == [(v, -n) for n, v in want]
+    assert seen[0][0] <= seen[0][1] // 3
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
+def test_nearest_recall(spark, sf):
+    where = f"/root/testdata/sf{sf}"
+    got = queries.op1_multi_index_hashing(spark, where).toPandas()
+    x = {r[0]: np.array(r[1], float) for r in duckdb.sql(f"select vec_id, embedding from '{where}/embeddings.parquet'").fetchall()}
     hits = total = 0
     for q, g in got.groupby("query_id"):
         g = g.sort_values("rank")

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vector_cells as cells
+from .scratch import operator
 
 #: Vectors the rotation is fitted on: those with the smallest id hashes.
 FIT_ROWS = 4096
@@ -59,17 +60,37 @@ class MultiIndex:
     """
 
     def __init__(self, codes: np.ndarray, ids: np.ndarray | None = None):
+        n, self.m = codes.shape
+        if n > 1 << 16:
+            raise ValueError("a block has 65,536 rows at most")
         self.codes = codes
+        self.rows = np.argsort(codes, axis=0, kind="stable").T.astype("<u2")
+        counts = np.array([np.bincount(codes[:, j], minlength=256) for j in range(self.m)])
+        self.stop = np.cumsum(counts, axis=1)
+        self.start = self.stop - counts
+        self._own(ids)
+
+    def _own(self, ids: np.ndarray | None) -> None:
         self.owner = None
         if ids is not None:
             known, owner = np.unique(ids, return_inverse=True)
             if len(known) < len(ids):
                 self.owner, self.owners = owner, len(known)
-        n, self.m = codes.shape
-        self.rows = np.argsort(codes, axis=0, kind="stable").T.astype(np.int32)
-        counts = np.array([np.bincount(codes[:, j], minlength=256) for j in range(self.m)])
-        self.stop = np.cumsum(counts, axis=1)
-        self.start = self.stop - counts
+
+    def stored(self) -> tuple[bytes, bytes, bytes]:
+        return self.codes.tobytes(), self.rows.tobytes(), self.stop.astype("<i4").tobytes()
+
+    @classmethod
+    def opened(cls, codes, rows, stop, ids: np.ndarray) -> MultiIndex:
+        """An index as it was stored."""
+        out = cls.__new__(cls)
+        out.codes = np.frombuffer(codes, np.uint8).reshape(len(ids), -1)
+        out.m = out.codes.shape[1]
+        out.rows = np.frombuffer(rows, "<u2").reshape(out.m, -1)
+        out.stop = np.frombuffer(stop, "<i4").reshape(out.m, 256).astype(np.int64)
+        out.start = np.concatenate([np.zeros((out.m, 1), np.int64), out.stop[:, :-1]], axis=1)
+        out._own(ids)
+        return out
 
     def _by_id(self, distance: np.ndarray) -> np.ndarray:
         """The least distance of each id."""
@@ -107,6 +128,7 @@ class MultiIndex:
         return np.arange(n)
 
 
+@operator
 def nearest(vectors: DataFrame, k: int = 10, query_step: int = 100, bits: int = BITS, id_col: str = "vec_id", vec_col: str = "embedding", fit_rows: int = FIT_ROWS) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found by Euclidean
     distance for every row whose id is divisible by ``query_step``.
@@ -120,20 +142,25 @@ def nearest(vectors: DataFrame, k: int = 10, query_step: int = 100, bits: int =
     vecs = cells.usable(vectors, id_col, vec_col).where(F.exists("vec", lambda x: x != 0))
     dim = cells.largest_dim(vecs)
     bits = -(-bits // 8) * 8
-    held = cells.blocks(vecs, dim, BLOCK_ROWS, "mih-blocks")
-    asked = cells.blocks(vecs.where(F.pmod("vec_id", F.lit(query_step)) == 0).repartition(F.col("vec_id")), dim, QUERY_ROWS, "mih-queries")
     sample = vecs.orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit_rows).select("vec").collect()
     fit = np.zeros((len(sample), dim))
     for row, r in zip(fit, sample, strict=True):
         row[: len(r.vec)] = r.vec
     mean, rotation = learn_rotation(fit, bits)
+    kind = cells.stored_as(vectors, vec_col)
+
+    def index(ids: np.ndarray, x: np.ndarray) -> tuple:
+        return ids, x, *MultiIndex(codes_of(x, mean, rotation), ids).stored()
+
+    held = cells.blocks(vecs, dim, BLOCK_ROWS, "mih-blocks", kind, "codes binary, rows binary, stops binary", index)
+    asked = cells.blocks(vecs.where(F.pmod("vec_id", F.lit(query_step)) == 0).repartition(F.col("vec_id")), dim, QUERY_ROWS, "mih-queries", kind)
 
     def work(row: dict) -> tuple:
         ids = np.frombuffer(row["ids"], "<i8")
-        x = np.frombuffer(row["vecs"], "<f8").reshape(len(ids), dim)
+        x = np.frombuffer(row["vecs"], kind).reshape(len(ids), dim)
         q_ids = np.frombuffer(row["q_ids"], "<i8")
-        q = np.frombuffer(row["q_vecs"], "<f8").reshape(len(q_ids), dim)
-        multi = MultiIndex(codes_of(x, mean, rotation), ids)
+        q = np.frombuffer(row["q_vecs"], kind).reshape(len(q_ids), dim).astype(np.float64)
+        multi = MultiIndex.opened(row["codes"], row["rows"], row["stops"], ids)
         out: list[tuple] = []
         for qid, qv, code in zip(q_ids, q, codes_of(q, mean, rotation), strict=True):
             rows = multi.within(code, max(TIMES * k, int(PART * len(ids))) + 1)

@@ -6,8 +6,9 @@ of a sample, which gathers most of an inner product in the first coordinates.
 The partial sum over these plus the product of the two residual lengths bounds
 the score (Cauchy-Schwarz); only vectors whose bound reaches the query's k-th
 best score so far are scored.  A first pass over the block of the longest
-vectors gives every query a threshold, and a block whose longest vector can't
-reach it is skipped whole.
+vectors gives every query a threshold.  The length of a block's longest vector
+stands beside it as a column, so that the join leaves out the pairs of blocks in
+which no vector can reach a threshold.  Blocks are sorted and rotated once.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vector_cells as cells
-from .scratch import materialize
+from .scratch import materialize, operator
 
 FIT_ROWS = 4096
 BLOCK_ROWS = 4096
@@ -36,9 +37,21 @@ def rotation_of(sample: np.ndarray) -> np.ndarray:
     return np.linalg.svd(sample.T @ sample)[0]
 
 
-def scan(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, rotation: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, scores) of the ``k`` best distinct ids of a block for each query that
-    can be among the best overall, -1 and the least long where there are fewer.
+def prepare(ids: np.ndarray, x: np.ndarray, rotation: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, vectors and rotated vectors (as float32), longest first."""
+    order = np.argsort(-(x.astype(np.float64) ** 2).sum(1), kind="stable")
+    return ids[order], x[order], (x[order] @ rotation).astype("<f4")
+
+
+#: More than rounding the rotated components to float32 can change a sum, as a part
+#: of the product of both lengths.
+ROUNDING = 2e-6
+
+
+def scan(ids: np.ndarray, x: np.ndarray, rx: np.ndarray, q_ids: np.ndarray, q: np.ndarray, rotation: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, scores) of the ``k`` best distinct ids of a prepared block for each
+    query that can be among the best overall, -1 and the least long where there are
+    fewer.
 
     ``floor`` holds a score that ``k`` other ids are known to reach.
     """
@@ -46,20 +59,18 @@ def scan(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, rotat
     least = np.iinfo(np.int64).min
     best_s = np.full((len(q), k), least)
     best_i = np.full((len(q), k), -1)
-    order = np.argsort(-(x.astype(np.float64) ** 2).sum(1), kind="stable")
-    ids, x = ids[order], x[order]
-    rx, rq = x @ rotation, q @ rotation
+    rx, rq = rx.astype(np.float64), q @ rotation
     cuts = sorted({dim // 4, dim // 2, dim} - {0})
     length, q_length = np.sqrt((rx**2).sum(1)), np.sqrt((rq**2).sum(1))
     for a in range(0, len(ids), STEP):
         part = slice(a, a + STEP)
         reach = np.maximum(best_s[:, -1].astype(np.float64), floor)
-        live = np.flatnonzero(q_length * length[a] * (1 + 1e-9) + 1e-3 >= reach)
+        live = np.flatnonzero(q_length * length[a] * (1 + ROUNDING) + 1e-3 >= reach)
         if not len(live):
-            if a + STEP < len(ids) and (q_length * length[a] * (1 + 1e-9) + 1e-3 < reach).all():
+            if a + STEP < len(ids) and (q_length * length[a] * (1 + ROUNDING) + 1e-3 < reach).all():
                 break
             continue
-        slack = 1e-9 * np.outer(q_length[live], length[part]) + 1e-3
+        slack = ROUNDING * np.outer(q_length[live], length[part]) + 1e-3
         sums = np.zeros((len(live), len(rx[part])))
         may = np.ones_like(sums, bool)
         begin = 0
@@ -84,6 +95,7 @@ def scan(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, rotat
     return best_i, best_s
 
 
+@operator
 def top_k(vectors: DataFrame, k: int = 5, query_step: int = 50, id_col: str = "vec_id", vec_col: str = "embedding", fit_rows: int = FIT_ROWS) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` highest integer inner products
     of ``floor(256 * x)`` for every row whose id is divisible by ``query_step``.
@@ -102,40 +114,53 @@ def top_k(vectors: DataFrame, k: int = 5, query_step: int = 50, id_col: str = "v
     parts = max(1, -(-n // BLOCK_ROWS))
     # The id breaks ties of length, so that no range grows with equal vectors.
     by_length = vecs.repartitionByRange(parts, length.desc(), F.xxhash64("vec_id"))
-    held = cells.blocks(by_length, dim, BLOCK_ROWS, "mips-blocks")
-    asked = cells.blocks(vecs.where(F.pmod("vec_id", F.lit(query_step)) == 0).repartition(F.col("vec_id")), dim, QUERY_ROWS, "mips-queries")
     sample = vecs.orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit_rows).select("vec").collect()
     fit = np.zeros((len(sample), dim))
     for row, r in zip(fit, sample, strict=True):
         row[: len(r.vec)] = r.vec
     rotation = rotation_of(fit)
 
+    def sort(ids: np.ndarray, x: np.ndarray) -> tuple:
+        ids, x, rx = prepare(ids, x, rotation)
+        return ids, x, rx.tobytes(), float(np.sqrt((x[0] ** 2).sum()))
+
+    held = cells.blocks(by_length, dim, BLOCK_ROWS, "mips-blocks", "<i4", "rotated binary, longest double", sort)
+    asked = cells.blocks(vecs.where(F.pmod("vec_id", F.lit(query_step)) == 0).repartition(F.col("vec_id")), dim, QUERY_ROWS, "mips-queries", "<i4")
+
+    def opened(ids, vecs, rotated) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        own = np.frombuffer(ids, "<i8")
+        return own, np.frombuffer(vecs, "<i4").reshape(len(own), dim), np.frombuffer(rotated, "<f4").reshape(len(own), dim)
+
     def work(row: dict) -> tuple:
-        ids, q_ids = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["q_ids"], "<i8")
-        x = np.frombuffer(row["vecs"], "<f8").reshape(len(ids), dim)
-        q = np.frombuffer(row["q_vecs"], "<f8").reshape(len(q_ids), dim)
-        floor = np.frombuffer(row["floor"], "<f8") if "floor" in row else np.full(len(q_ids), -np.inf)
-        found, score = scan(ids, x, q_ids, q, rotation, k, floor)
+        ids, x, rx = opened(row["ids"], row["vecs"], row["rotated"])
+        q_ids = np.frombuffer(row["q_ids"], "<i8")
+        q = np.frombuffer(row["q_vecs"], "<i4").reshape(len(q_ids), dim).astype(np.float64)
+        floor = np.frombuffer(row["q_floor"], "<f8")
+        found, score = scan(ids, x, rx, q_ids, q, rotation, k, floor)
         real = found >= 0 if (ids >= 0).all() else score > np.iinfo(np.int64).min
         real &= score >= floor[:, None]
         return np.repeat(q_ids, real.sum(1)), found[real], score[real]
 
     # The longest vectors first: their k-th best score is a floor for all others.
-    longest = held.orderBy("block").limit(1)
-    top = longest.select(F.col("ids").alias("t_ids"), F.col("vecs").alias("t_vecs")).first()
-    t_ids = np.frombuffer(top.t_ids, "<i8") if top else np.zeros(0, np.int64)
-    t_vecs = np.frombuffer(top.t_vecs, "<f8").reshape(len(t_ids), dim) if top else np.zeros((0, dim))
+    longest = held.orderBy(F.desc("longest"), "block").limit(1).select(F.lit(0).alias("one"), *[F.col(c).alias(f"t_{c}") for c in ("ids", "vecs", "rotated")])
 
     def seed(batches):
         for b in batches:
-            floors = []
-            for q_ids, q_vecs in zip(b.column(1), b.column(2), strict=True):
+            floors, reaches = [], []
+            for q_ids, q_vecs, *top in zip(*b.columns[1:], strict=True):
                 i = np.frombuffer(q_ids.as_buffer(), "<i8")
-                q = np.frombuffer(q_vecs.as_buffer(), "<f8").reshape(len(i), dim)
-                s = scan(t_ids, t_vecs, i, q, rotation, k, np.full(len(i), -np.inf))[1][:, -1]
-                floors.append(np.where(s == np.iinfo(np.int64).min, -np.inf, s.astype(np.float64)).astype("<f8").tobytes())
-            yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array(floors, pa.binary())], names=["block", "ids", "vecs", "floor"])
-
-    seeded = materialize(asked.mapInArrow(seed, cells.BLOCK + ", floor binary"), "mips-seeded")
-    found = cells.search(seeded, held, work, "long", "floor")
+                q = np.frombuffer(q_vecs.as_buffer(), "<i4").reshape(len(i), dim).astype(np.float64)
+                s = scan(*opened(*(t.as_buffer() for t in top)), i, q, rotation, k, np.full(len(i), -np.inf))[1][:, -1]
+                floor = np.where(s == np.iinfo(np.int64).min, -np.inf, s.astype(np.float64))
+                length = np.sqrt((q**2).sum(1))
+                # The length that a vector needs for a score of the floor of some query.
+                need = np.where(floor <= 0, 0.0, (floor - 1e-3) / np.maximum(length, 1e-9))
+                floors.append(floor.astype("<f8").tobytes())
+                reaches.append(float(need.min()) * (1 - 1e-9))
+            yield pa.record_batch([*b.columns[:3], pa.array(floors, pa.binary()), pa.array(reaches, pa.float64())], names=["block", "ids", "vecs", "floor", "reach"])
+
+    # One block, of bounded size, goes to all queries.
+    first = asked.withColumn("one", F.lit(0)).join(F.broadcast(longest), "one").drop("one")
+    seeded = materialize(first.mapInArrow(seed, cells.BLOCK + ", floor binary, reach double"), "mips-seeded")
+    found = cells.search(seeded, held, work, "long", F.col("longest") >= F.col("q_reach"))
     return cells.best(found, k, False)

@@ -1,8 +1,10 @@
 """A stated set of query vectors against all vectors, in blocks.
 
 Vectors are packed into blocks of bounded size, one row each, and so are the
-queries.  Every pair of a query block and a vector block is one unit of work of
-bounded memory; it returns its best few rows a query, and these are merged.
+queries.  What a search needs of a block (an index, an order, a rotation) is made
+once, when the block is, and stored with it.  Every pair of a query block and a
+vector block that can matter is one unit of work of bounded memory; it returns its
+best few rows a query, and these are merged.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from .scratch import materialize
 
@@ -43,9 +46,19 @@ def largest_dim(vectors: DataFrame) -> int:
     return vectors.agg(F.max(F.size("vec"))).first()[0] or 1
 
 
-def blocks(vectors: DataFrame, dim: int, size: int, name: str) -> DataFrame:
+def stored_as(df: DataFrame, vec_col: str) -> str:
+    """The type that holds the components of ``vec_col`` exactly."""
+    return "<f4" if isinstance(df.select(vec_col).schema[0].dataType.elementType, FloatType) else "<f8"
+
+
+def blocks(vectors: DataFrame, dim: int, size: int, name: str, kind: str, more: str = "", make: Callable | None = None) -> DataFrame:
     """Written table of ``(block, ids, vecs)``; a block holds up to ``size``
-    vectors in the order of its partition, ids as int64 and vectors as float64."""
+    vectors in the order of its partition, ids as int64 and vectors as ``kind``.
+
+    ``make(ids, vecs)`` may put them in another order; it returns both and the
+    values of the columns ``more`` (a schema)."""
+    schema = BLOCK + (f", {more}" if more else "")
+    names = [part.split()[0] for part in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId() << 32
@@ -58,7 +71,9 @@ def blocks(vectors: DataFrame, dim: int, size: int, name: str) -> DataFrame:
             i, v = np.concatenate(ids), np.concatenate(vecs)
             at = 0
             while len(i) - at >= n or last and at < len(i):
-                yield pa.record_batch([pa.array([part], pa.int64()), pa.array([i[at : at + n].astype("<i8").tobytes()]), pa.array([v[at : at + n].astype("<f8").tobytes()])], names=["block", "ids", "vecs"])
+                own_ids, own, *extra = make(i[at : at + n], v[at : at + n]) if make else (i[at : at + n], v[at : at + n])
+                row = [pa.array([own_ids.astype("<i8").tobytes()]), pa.array([own.astype(kind).tobytes()]), *[pa.array([x]) for x in extra]]
+                yield pa.record_batch([pa.array([part], pa.int64()), *row], names=names)
                 part, at = part + 1, at + n
             ids, vecs = ([i[at:]], [v[at:]]) if at < len(i) else ([], [])
             held = max(0, len(i) - at)
@@ -71,22 +86,24 @@ def blocks(vectors: DataFrame, dim: int, size: int, name: str) -> DataFrame:
                 yield from flush(size, False)
         yield from flush(size, True)
 
-    return materialize(vectors.mapInArrow(run, BLOCK), name)
+    return materialize(vectors.mapInArrow(run, schema), name)
 
 
-def search(queries: DataFrame, vectors: DataFrame, work: Callable, kind: str, extra: str = "") -> DataFrame:
-    """Run ``work(queries row, vectors row)`` for every pair of blocks; it returns
-    ``(query ids, vector ids, scores)``.  ``queries`` may carry a column ``extra``."""
+def search(queries: DataFrame, vectors: DataFrame, work: Callable, kind: str, reach: Column | None = None) -> DataFrame:
+    """Run ``work(row)`` for every pair of a query block, whose columns but ``block``
+    are ``q_`` and their name, and a vector block, and, if ``reach`` is given, only
+    for pairs for which it is true; it returns ``(query ids, vector ids, scores)``."""
     cells = max(1, vectors.count())
-    more = [extra] if extra else []
-    asked = queries.select(F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"), *more, F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"))
-    held = vectors.withColumn("cell", F.pmod(F.xxhash64("block"), F.lit(cells)).cast("int"))
-    pairs = asked.join(held, "cell").select("q_ids", "q_vecs", *more, "ids", "vecs")
+    each = F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell")
+    asked = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns if c != "block"], each)
+    held = vectors.withColumn("cell", F.pmod(F.xxhash64("block"), F.lit(cells)).cast("int")).drop("block")
+    pairs = asked.join(held, "cell")
+    pairs = (pairs if reach is None else pairs.where(reach)).drop("cell")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
-                row = {n: b.column(i)[k].as_buffer() for i, n in enumerate(b.schema.names)}
+                row = {n: x.as_buffer() if pa.types.is_binary((x := b.column(i)[k]).type) else x.as_py() for i, n in enumerate(b.schema.names)}
                 q, v, s = work(row)
                 if len(q):
                     yield pa.record_batch([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s)], names=["query_id", "vec_id", "score"])

@@ -370,3 +370,13 @@ def test_distinct_word_bpe(spark):
     back = bpe_distinct.decode(bpe_distinct.encode(table(spark))).collect()
     assert Counter((r.doc_id, bytes(r.decoded).decode()) for r in back) == Counter((d, t or "") for d, t in ROWS)
     assert bpe_distinct.encode(table(spark, [])).count() == 0
+
+
+def test_words_and_blocks_are_dealt_evenly(spark, monkeypatch):
+    monkeypatch.setattr(bpe_distinct, "KNOWN_WORDS", 50)
+    rows = [(k, " ".join(f"word{(k * 31 + j) % 3000}" for j in range(200))) for k in range(400)]
+    docs = table(spark, rows).repartition(6)
+    got = {r.doc_id: bytes(r.decoded).decode() for r in bpe_distinct.decode(bpe_distinct.encode(docs, block_chars=20_000)).collect()}
+    assert got == dict(rows)
+    plan = explained(bpe_distinct.encode(docs, block_chars=20_000))
+    assert plan.count("REPARTITION_BY_NUM") >= 2

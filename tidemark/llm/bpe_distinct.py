@@ -8,7 +8,12 @@ the documents are put together again by position.  As a block names each of its
 words once, a frequent word is no hot key.
 
 Decoding joins ids to the token-byte table, which has one row per id and is of
-fixed size.
+fixed size.  Its rows stand in the order of their ids, so the join looks rows up
+by their number, for all ids of a document at once.
+
+Positions travel with the words through the first exchange, though only the
+second needs them: to keep them out, the split texts would have to be written or
+split twice, which costs more.
 """
 
 from __future__ import annotations
@@ -27,20 +32,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import operator
 from .vbyte_ids import decode_ranks, encode_ranks
 from .wordsplit import LONGEST, chunks, pieces
 
 RANKS_FILE = "byte_bpe_50k.tiktoken"
 #: Characters of text of a block.
 BLOCK_CHARS = 32_000_000
-#: Groups that a block's words are dealt to: a power of two, at least this and
-#: the number of shuffle partitions, so that more tasks share more words.
+#: Groups that a block's words are dealt to: the least multiple of the number of
+#: shuffle partitions that is at least this, so that each task gets as many.
 LEAST_BUCKETS, MOST_BUCKETS = 64, 1 << 14
+#: Distinct words that a task remembers the ids of before it begins anew.
+KNOWN_WORDS = 1_000_000
 #: Words of a block that are numbered by frequency; the others are numbered in
 #: the order in which they are sent, so that their numbers needn't be.
 FREQUENT = 16_384
 #: A shuffled row: either a block's positions (bucket -1) or some of its words.
-ROW = "spread long, block long, bucket int, payload binary"
+ROW = "spread int, block long, bucket int, payload binary"
 
 
 @lru_cache(None)
@@ -57,13 +65,14 @@ def _encoding(path: str):
 
 
 @lru_cache(None)
-def token_bytes(path: str) -> list[bytes | None]:
-    """Token-byte table: the bytes of each id."""
+def token_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token-byte table: (first byte, length, all bytes); row numbers are ids."""
     ranks = rank_file(path)
-    out: list[bytes | None] = [None] * (max(ranks.values()) + 1)
+    length = np.zeros(max(ranks.values()) + 1, np.int64)
+    tokens = [b""] * len(length)
     for token, k in ranks.items():
-        out[k] = token
-    return out
+        tokens[k], length[k] = token, len(token)
+    return np.cumsum(length) - length, length, np.frombuffer(b"".join(tokens), np.uint8)
 
 
 def _pack(*arrays: np.ndarray | bytes) -> bytes:
@@ -127,7 +136,7 @@ class _Block:
         self.hashes.append(h)
         return len(self.words) - 1
 
-    def rows(self, block: int, buckets: int) -> Iterator[tuple[int, int, int, bytes]]:
+    def rows(self, block: int, buckets: int, place: Callable[[int], int]) -> Iterator[tuple[int, int, int, bytes]]:
         # A block is used up by this; what isn't needed any more goes at once.
         self.known.clear()
         stream = np.concatenate(self.stream) if self.stream else np.zeros(0, np.uint32)
@@ -135,7 +144,7 @@ class _Block:
         n = len(self.words)
         raw = [w.encode("utf-8", "surrogatepass") for w in self.words]
         self.words.clear()
-        bucket = (np.array(self.hashes, np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(65 - buckets.bit_length())).astype(np.int64)
+        bucket = ((np.array(self.hashes, np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64)
         often = np.argsort(-np.bincount(stream, minlength=n), kind="stable")
         top, others = often[:FREQUENT], often[FREQUENT:]
         # Within a bucket neighbours share beginnings, which compress well.
@@ -150,7 +159,7 @@ class _Block:
         control, data = encode_ranks(number[stream] if len(stream) else stream)
         ids = np.array([0 if d is None else d for d in self.doc_ids], "<i8")
         null = np.array([d is None for d in self.doc_ids], np.uint8)
-        yield -1 - block, block, -1, _pack(ids, null, np.array(self.counts, "<i4"), np.array([n, len(stream)], "<i8"), first.astype("<i8"), control, data)
+        yield place(block), block, -1, _pack(ids, null, np.array(self.counts, "<i4"), np.array([n, len(stream)], "<i8"), first.astype("<i8"), control, data)
         del stream, number, control, data
         of_top = bucket[top]
         for b in range(buckets):
@@ -162,7 +171,7 @@ class _Block:
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary())
     return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["spread", "block", "bucket", "payload"])
 
 
@@ -170,6 +179,7 @@ def _rows_of_ids(doc_ids: list[int | None], ids: list[np.ndarray]) -> pa.RecordB
     return pa.record_batch([pa.array(doc_ids, pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())], names=["doc_id", "ids"])
 
 
+@operator
 def encode(docs: DataFrame, ranks_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, finish: Callable = _rows_of_ids, schema: str = "doc_id long, ids binary") -> DataFrame:
     """``(doc_id, ids)``: the ids of each whole text as little-endian 32-bit
     integers in a binary column, one row per row of ``docs``.
@@ -182,7 +192,12 @@ def encode(docs: DataFrame, ranks_path: str | None = None, id_col: str = "doc_id
     """
     path = ranks_path or public_tokenizers.path(RANKS_FILE)
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 1 << (min(max(LEAST_BUCKETS, partitions), MOST_BUCKETS) - 1).bit_length()
+    partitions = min(partitions, MOST_BUCKETS)
+    buckets = -(-LEAST_BUCKETS // partitions) * partitions
+
+    def place(block: int) -> int:
+        """Partition of a block: the blocks of a task lie side by side with those of others."""
+        return ((block >> 32) + (block & 0xFFFFFFFF) * 7919) % partitions
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -192,10 +207,10 @@ def encode(docs: DataFrame, ranks_path: str | None = None, id_col: str = "doc_id
                 part = b.slice(a, 500)
                 block.add(part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()])
                 if block.chars >= block_chars:
-                    yield from (_batch([r]) for r in block.rows(number, buckets))
+                    yield from (_batch([r]) for r in block.rows(number, buckets, place))
                     number, block = number + 1, _Block()
         if block.doc_ids:
-            yield from (_batch([r]) for r in block.rows(number, buckets))
+            yield from (_batch([r]) for r in block.rows(number, buckets, place))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _encoding(path)
@@ -217,6 +232,8 @@ def encode(docs: DataFrame, ranks_path: str | None = None, id_col: str = "doc_id
                     at += size
                     found = known.get(word)
                     if found is None:
+                        if len(known) >= KNOWN_WORDS:
+                            known.clear()
                         found = known[word] = np.array(coder.encode_ordinary(word.decode("utf-8", "surrogatepass")), kind).tobytes()
                     ids.append(found)
                 flat = np.frombuffer(b"".join(ids), kind)
@@ -270,13 +287,19 @@ def encode(docs: DataFrame, ranks_path: str | None = None, id_col: str = "doc_id
             yield from join(held)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(split, ROW)
-    coded = rows.repartition(F.col("spread")).mapInArrow(look_up, ROW)
-    return coded.repartition(F.col("block")).sortWithinPartitions("block", "bucket").mapInArrow(reassemble, schema)
+    # Buckets and blocks are dealt by number, so every task gets its share of them.
+    coded = rows.repartitionById(partitions, F.col("spread") % partitions).mapInArrow(look_up, ROW)
+    where = (F.shiftright("block", 32) + F.col("block").bitwiseAND(F.lit(0xFFFFFFFF)) * 7919) % partitions
+    return coded.repartitionById(partitions, where.cast("int")).sortWithinPartitions("block", "bucket").mapInArrow(reassemble, schema)
 
 
-def decode_ids(ids: np.ndarray, table: list[bytes | None]) -> bytes:
-    """Join of ids to the token-byte table."""
-    return b"".join([table[k] for k in ids.tolist()])
+def decode_ids(ids: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> bytes:
+    """Join of ids to the token-byte table, in order of position."""
+    first, length, data = table
+    size = length[ids]
+    upto = np.cumsum(size)
+    total = int(upto[-1]) if len(upto) else 0
+    return data[np.repeat(first[ids] - (upto - size), size) + np.arange(total)].tobytes()
 
 
 def decode(coded: DataFrame, ranks_path: str | None = None) -> DataFrame:
@@ -284,7 +307,7 @@ def decode(coded: DataFrame, ranks_path: str | None = None) -> DataFrame:
     path = ranks_path or public_tokenizers.path(RANKS_FILE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = token_bytes(path)
+        table = token_table(path)
         for b in batches:
             out = [decode_ids(np.frombuffer(x.as_buffer(), "<u4"), table) for x in b.column(1)]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["doc_id", "ids", "decoded"])
@@ -295,12 +318,13 @@ def decode(coded: DataFrame, ranks_path: str | None = None) -> DataFrame:
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
+@operator
 def digest(docs: DataFrame, ranks_path: str | None = None, **kw) -> DataFrame:
     """:data:`DIGEST` of every document: encoded, decoded again, both hashed."""
     path = ranks_path or public_tokenizers.path(RANKS_FILE)
 
     def finish(doc_ids: list[int | None], ids: list[np.ndarray]) -> pa.RecordBatch:
-        table, decimal = token_bytes(path), _decimals()
+        table, decimal = token_table(path), _decimals()
         hashes = [hashlib.sha256(b" ".join([decimal[k] if k < len(decimal) else b"%d" % k for k in x.tolist()])).hexdigest() for x in ids]
         decoded = [hashlib.sha256(decode_ids(x, table)).hexdigest() for x in ids]
         return pa.record_batch([pa.array(doc_ids, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array(hashes), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

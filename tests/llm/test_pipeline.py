@@ -64,3 +64,45 @@ def test_stages(spark, tmp_path):
     assert changed == {r.doc_id for r in direct} and all(safe[d].n_chars == len(safe[d].text) for d in safe)
 
     assert {r.doc_id for r in packed} == set(safe)
+
+
+def test_stages_with_odd_rows(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated ids and rows, and columns of other names."""
+    from pyspark.sql import functions as F
+
+    long = " ".join(f"long{k}" for k in range(60_000))
+    rows = [(1, "some plain words stand here and there", "en"), (2, None, None), (3, "", "en"), (4, "call +1 743 555 3824 now please my friend", None), (4, "another text with the same id as before", "de")]
+    rows += [(None, "a row without an id has words too", "en"), (None, None, None), (5, long, "fr"), (6, long + " end", "fr"), (7, "twice the same row of plain words", "en"), (7, "twice the same row of plain words", "en")]
+    docs = spark.createDataFrame([(i, t, x, "s", None if t is None else len(t), 1, "q") for i, t, x in rows], "doc_id long, text string, lang string, source string, n_chars long, `row` int, `do.c` string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{SF}/labels.parquet").limit(0).write.parquet(str(tmp_path / "labels.parquet"))
+    frames = [docs]
+    for _, stage in corpus_pipeline.STAGES:
+        frames.append(stage(spark, frames[-1], str(tmp_path)).cache())
+    assert all(f.columns == docs.columns for f in frames[:4])
+    assert frames[1].count() == len(rows)  # no labels: nothing is rejected
+    kept = sorted(((r.doc_id, (r.text or "")[:12]) for r in frames[2].collect()), key=str)
+    want = sorted({(i, (t or "")[:12]) for i, t, _ in rows if i != 6}, key=str)
+    assert kept == want
+    safe = {(r.doc_id, r.lang): r for r in frames[3].collect()}
+    assert "555 3824" not in safe[4, None].text and safe[5, "fr"].text == long and safe[2, None].text is None
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) and r["do.c"] == "q" for r in safe.values())
+    packed = frames[4].groupBy("doc_id", "piece").agg(F.count("*").alias("n"), F.sum("length").alias("ids")).collect()
+    assert {r.doc_id for r in packed} == {r.doc_id for r in frames[3].collect()} and sum(r.ids for r in packed if r.doc_id == 2) == 1
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, str(tmp_path))
+        assert empty.count() == 0
+
+
+def test_run_leaves_only_its_result(spark, tmp_path):
+    from pathlib import Path
+
+    from tidemark.llm import scratch
+
+    root = Path(scratch.shared_dir(spark).removeprefix("file://")) / "tidemark"
+    before = {p.name for p in root.iterdir()} if root.exists() else set()
+    out = corpus_pipeline.run(spark, SF)
+    assert out.count() > 0
+    left = {p.name.split("-")[0] for p in root.iterdir() if p.name not in before and not p.name.endswith(".crc")}
+    assert left == {"stage"}

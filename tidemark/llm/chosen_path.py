@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .quality_ftrl import _mix as mix
-from .scratch import materialize
+from .quality_ftrl import quoted
+from .scratch import materialize, operator
 from .skew import HEAVY, join_groups
 from .wordsplit import SPACE, char_classes, chunks, code_points, span_hashes
 
@@ -291,6 +292,7 @@ def _verify(threshold: float):
     return run
 
 
+@operator
 def ngram_jaccard_join(docs: DataFrame, n: int = N, threshold: float = SIMILARITY, runs: int = RUNS, depth: int = DEPTH, small: int = SMALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, class_id, n_links`` for every row of ``docs``.
 
@@ -365,6 +367,7 @@ def _classes(docs: DataFrame, n: int, threshold: float, runs: int, depth: int, s
     return out.select("doc_id", "text_hash", "root", "class_id", "n_links").unionByName(apart)
 
 
+@operator
 def keep_one(docs: DataFrame, n: int = N, threshold: float = SIMILARITY, runs: int = RUNS, depth: int = DEPTH, small: int = SMALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs`` for each class, all columns kept: of the rows with the
     smallest id one of those with the smallest text hash.
@@ -386,17 +389,17 @@ def keep_one(docs: DataFrame, n: int = N, threshold: float = SIMILARITY, runs: i
     # What is not one row to keep: copies, and repeats of a row of which one stays.
     marked = materialize(later.unionByName(others).unionByName(again).withColumnsRenamed({"doc_id": "_doc", "text_hash": "_hash"}), "copies")
     keys = ["_doc", "_hash"]
-    rows = docs.withColumns({"_doc": F.col(id_col).cast("long"), "_hash": F.xxhash64(text_col)})
+    # Rows travel as one structure, so that no name of a column can clash.
+    rows = docs.select(F.struct(*quoted(docs.columns)).alias("row"), F.col(id_col).cast("long").alias("_doc"), F.xxhash64(text_col).alias("_hash"))
     is_heavy = F.col("n") > texts.agg(F.sum("n")).first()[0] / HEAVY if not marked.isEmpty() else F.lit(False)
     heavy = marked.where(is_heavy).select(*keys, "stays")
     light = marked.where(~is_heavy).select(*keys, "stays")
     some_heavy = not heavy.isEmpty()
     cold = rows.join(F.broadcast(heavy), keys, "left_anti") if some_heavy else rows
-    out = cold.join(light, keys, "left_anti").select(*docs.columns)
+    out = cold.join(light, keys, "left_anti").select("row")
     repeated = [rows.join(F.broadcast(heavy.where("stays")), keys)] if some_heavy else []
     if not light.where("stays").isEmpty():
         repeated.append(rows.join(light.where("stays"), keys))
     for part in repeated:
-        one = part.groupBy(*keys).agg(F.any_value(F.struct(*docs.columns)).alias("_row"))
-        out = out.unionByName(one.select("_row.*"))
-    return out
+        out = out.unionByName(part.groupBy(*keys).agg(F.any_value("row").alias("row")).select("row"))
+    return out.select("row.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import materialize, operator
 from .skew import join_groups
 
 
@@ -31,6 +31,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
+@operator
 def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """``(u, v)`` long edges in; ``(node, root)`` out for every node that is not
     its own root, root being the least node of its component.

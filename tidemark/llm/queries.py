@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import ann_mih, bpe_distinct, chat_grammar, chosen_path, mips_norm, packing_gga, pii_surrogates, quality_ftrl, vbyte_ids, warc_revisit
 
@@ -38,7 +39,8 @@ ADDED_TEXT = "\\### Assistant: </turn> ok"
 
 def op5_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    added = spark.createDataFrame([(-7, 0, "user", ADDED_TEXT), (-7, 1, "assistant", ADDED_TEXT)], turns.schema)
+    rows = F.array(*[F.struct(F.lit(k).alias("turn"), F.lit(role).alias("role")) for k, role in enumerate(("user", "assistant"))])
+    added = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.explode(rows).alias("t")).select("conv_id", F.col("t.turn").cast("long").alias("turn"), "t.role", F.lit(ADDED_TEXT).alias("text"))
     return chat_grammar.digest(chat_grammar.format_conversations(turns.unionByName(added)))
 
 

@@ -34,8 +34,9 @@ N, SIMILARITY = 5, 0.8
 SLOTS = 64
 #: Runs of the recursion, its depth, and the sets a node holds to be compared at once.
 RUNS, DEPTH, SMALL = 10, 4, 48
-#: Sets of a block of a node that is compared in blocks.
-BLOCK = 256
+#: Sets of a block of a node that is compared in blocks, at most and at least, and
+#: the n-grams that a block holds about: long sets stand in smaller blocks.
+BLOCK, LEAST_BLOCK, BLOCK_GRAMS = 1024, 64, 1 << 18
 _ORDER = np.array([0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _rng = np.random.default_rng(20240501)
 _A = _rng.integers(0, 1 << 63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -140,11 +141,11 @@ def _low(column: pa.Array) -> np.ndarray:
 def _paths(sets: DataFrame, runs: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_numpy()
+            ids, size = b.column(0).to_numpy(), b.column(2).to_numpy()
             row, node = roots(_low(b.column(1)), runs) if len(ids) else (np.zeros(0, int), np.zeros(0, np.uint64))
-            yield pa.record_batch([pa.array(node.view(np.int64)), pa.array(ids[row])], names=["node", "vid"])
+            yield pa.record_batch([pa.array(node.view(np.int64)), pa.array(ids[row]), pa.array(size[row])], names=["node", "vid", "size"])
 
-    return sets.select("vid", "low").mapInArrow(run, "node long, vid long")
+    return sets.select("vid", "low", "size").mapInArrow(run, "node long, vid long, size long")
 
 
 def _extend(members: DataFrame) -> DataFrame:
@@ -152,13 +153,14 @@ def _extend(members: DataFrame) -> DataFrame:
         for b in batches:
             if b.num_rows:
                 row, node = children(b.column(0).to_numpy().view(np.uint64), _low(b.column(2)))
-                yield pa.record_batch([pa.array(node.view(np.int64)), pa.array(b.column(1).to_numpy()[row])], names=["node", "vid"])
+                yield pa.record_batch([pa.array(node.view(np.int64)), *[pa.array(b.column(k).to_numpy()[row]) for k in (1, 3)]], names=["node", "vid", "size"])
 
-    return members.select("node", "vid", "low").mapInArrow(run, "node long, vid long").distinct()
+    return members.select("node", "vid", "low", "size").mapInArrow(run, "node long, vid long, size long").distinct()
 
 
 def candidate_nodes(sets: DataFrame, runs: int, depth: int, small: int) -> DataFrame:
-    """``(node, n, vid)`` of all nodes to compare by brute force."""
+    """``(node, n, top, vid)`` of all nodes to compare by brute force; ``top`` is the
+    size of a node's largest set."""
     level = materialize(_paths(sets, runs), "paths-1")
     found = None
     for d in range(1, depth + 1):
@@ -166,24 +168,25 @@ def candidate_nodes(sets: DataFrame, runs: int, depth: int, small: int) -> DataF
         # Nodes with the same members give the same pairs, so one of them is enough to
         # compare; all are split, as each samples other positions.
         members = (F.expr("bit_xor(xxhash64(vid))").alias("x"), F.expr("bit_xor(xxhash64(vid, 1L))").alias("y"))
-        stats = materialize(level.groupBy("node").agg(F.count("*").alias("n"), *members).where("n > 1"), f"nodes-{d}")
-        once = stats.groupBy("x", "y", "n").agg(F.min("node").alias("node")).select("node", "n")
+        stats = materialize(level.groupBy("node").agg(F.count("*").alias("n"), F.max("size").alias("top"), *members).where("n > 1"), f"nodes-{d}")
+        once = stats.groupBy("x", "y", "n", "top").agg(F.min("node").alias("node")).select("node", "n", "top")
         ends = once if d == depth else once.where(F.col("n") <= small)
         ends = materialize(ends, f"ends-{d}")
-        part = join_groups(level, ends, "node", "n", total).select("node", "n", "vid")
+        part = join_groups(level, ends, "node", "n", total).select("node", "n", "top", "vid")
         found = part if found is None else found.unionByName(part)
         if d == depth or stats.where(F.col("n") > small).isEmpty():
             break
         more = materialize(stats.where(F.col("n") > small).select("node", "n"), f"split-{d}")
         inside = join_groups(level, more, "node", "n", total).select("node", "vid")
-        level = materialize(_extend(inside.join(sets.select("vid", "low"), "vid")), f"paths-{d + 1}")
+        level = materialize(_extend(inside.join(sets.select("vid", "low", "size"), "vid")), f"paths-{d + 1}")
     return materialize(found, "nodes")
 
 
 def _in_blocks(nodes: DataFrame, block: int) -> DataFrame:
     """``(cell, node, vid, lo, same)``: one row for each pair of blocks of a
     node that a set belongs to; ``lo``: it is of the first, ``same``: both are one."""
-    parts = F.ceil(F.col("n") / block).cast("int")
+    width = F.greatest(F.lit(LEAST_BLOCK), F.least(F.lit(block), F.floor(F.lit(BLOCK_GRAMS) / F.col("top"))))
+    parts = F.ceil(F.col("n") / width).cast("int")
     own = nodes.withColumn("own", F.pmod(F.xxhash64("vid", "node"), parts.cast("long")).cast("int"))
     each = own.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     lo, hi = F.least("own", "other"), F.greatest("own", "other")
@@ -319,8 +322,8 @@ def _classes(docs: DataFrame, n: int, threshold: float, runs: int, depth: int, s
     compared = (F.col("size") > 0) & F.col("doc_id").isNotNull()
     apart = sk.where(~compared).select("doc_id", "text_hash", F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     rows = sk.where(compared)
-    firsts = rows.groupBy("sig").agg(F.min(F.struct("doc_id", "low")).alias("f"), F.count("*").alias("copies"))
-    sets = materialize(firsts.select("sig", F.col("f.doc_id").alias("rep"), F.col("f.low").alias("low"), "copies"), "sets")
+    firsts = rows.groupBy("sig").agg(F.min(F.struct("doc_id", "low", "size")).alias("f"), F.count("*").alias("copies"))
+    sets = materialize(firsts.select("sig", F.col("f.doc_id").alias("rep"), F.col("f.low").alias("low"), F.col("f.size").alias("size"), "copies"), "sets")
     sets = materialize(sets.withColumn("vid", F.monotonically_increasing_id()), "numbered-sets")
     nodes = candidate_nodes(sets, runs, depth, small)
     cells = _in_blocks(nodes, BLOCK)

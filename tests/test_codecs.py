@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tidemark.errors import Closed, Corrupted, NotFound, ReadOnly
-from tidemark.functions import bloom, hashing, names
+from tidemark.functions import bloom, comparer, hashing, keys, names
 from tidemark.options import Options
 from tidemark.sources import journal, manifest_codec, storage, table_file
 from tidemark.sources.varint import put, take
@@ -76,12 +76,12 @@ def test_journal_damage():
     dropped = []
     kept = list(journal.decode(bytes(data), dropped=lambda r, n: dropped.append(r)))
     assert records[0] in kept and len(kept) < 6 and set(kept) <= set(records)
-    assert "checksum mismatch" in dropped
+    assert journal.Fault.CHECKSUM in dropped
     with pytest.raises(Corrupted):
         list(journal.decode(bytes(data), strict=True))
     zero = journal.encode([b"a"]) + bytes(20)
     assert list(journal.decode(zero)) == [b"a"]
-    with pytest.raises(Corrupted, match="zero header"):
+    with pytest.raises(Corrupted, match=journal.Fault.EMPTY):
         list(journal.decode(zero, strict=True))
 
 
@@ -96,7 +96,7 @@ def test_journal_source(spark, tmp_path):
     (tmp_path / "000002.log").write_bytes(journal.encode([b"three"])[:-1])
     rows = journal.read(spark, str(tmp_path)).collect()
     assert sorted((r.record_no, bytes(r.record)) for r in rows) == [(0, b"one"), (1, b"two" * 20_000)]
-    assert [r.reason for r in journal.read_dropped(spark, str(tmp_path)).collect()] == ["chunk length overflows block"]
+    assert [r.reason for r in journal.read_dropped(spark, str(tmp_path)).collect()] == [journal.Fault.LENGTH]
 
 
 def test_manifest_round_trip(spark, tmp_path):
@@ -122,28 +122,140 @@ def test_manifest_round_trip(spark, tmp_path):
     assert state["next_file_num"] == 12 and state["prev_journal_num"] == 2
 
 
+def test_journal_goes_on_where_it_ended():
+    rng = random.Random(6)
+    records = [rng.randbytes(n) for n in (10, journal.BLOCK - 20, 40_000, 0, 3, journal.BLOCK - 14)]
+    data = b""
+    for r in records:
+        data += journal.encode([r], len(data))
+    assert data == journal.encode(records) and list(journal.decode(data, strict=True)) == records
+
+
+def test_journal_batches(spark, tmp_path):
+    some = [b"%d" % k for k in range(10_000)]
+    (tmp_path / "000001.log").write_bytes(journal.encode(some))
+    got = journal.read(spark, str(tmp_path)).collect()
+    assert [(r.record_no, bytes(r.record)) for r in got] == list(enumerate(some))
+
+
+def some_rows(n=3000, seed=9):
+    rng = random.Random(seed)
+    return sorted({f"key{rng.randrange(10**6):07d}".encode(): rng.randbytes(rng.randrange(60)) for _ in range(n)}.items())
+
+
 def test_table_round_trip(spark, tmp_path):
-    rng = random.Random(9)
-    rows = sorted({f"key{rng.randrange(10**6):07d}".encode(): rng.randbytes(rng.randrange(60)) for _ in range(3000)}.items())
+    rows = some_rows()
     for compression in ("snappy", "none"):
         t = table_file.Table(table_file.encode(rows, Options(compression=compression)))
         assert list(t.entries()) == rows
         assert list(t.entries(rows[100][0], rows[2000][0])) == rows[100:2000]
         assert all(t.get(k) == v for k, v in rows[::50])
         assert t.get(b"absent") is None and t.find(b"key") == rows[0] and t.find(b"z") is None
-        assert t.find(rows[7][0] + b"\0") == rows[8]
+        assert t.find(rows[7][0] + b"\0") == rows[8] and t.find(rows[7][0] + b"\0", filtered=True) is None
         offsets = [t.offset_of(k) for k, _ in rows]
         assert offsets == sorted(offsets) and offsets[0] == 0 and t.offset_of(b"z") == t.data_end > offsets[-1]
-    data = bytearray(table_file.encode(rows))
+    good = table_file.encode(rows)
+    data = bytearray(good)
     data[10] ^= 1
     with pytest.raises(Corrupted):
         list(table_file.Table(bytes(data)).entries())
-    (tmp_path / "000001.ldb").write_bytes(table_file.encode(rows))
+    # Only the damaged block is left out, and only a damaged file as a whole.
+    first = sum(k <= table_file.Table(good).index[0][0] for k, _ in rows)
+    (tmp_path / "000001.ldb").write_bytes(good)
     (tmp_path / "000002.ldb").write_bytes(bytes(data))
-    assert table_file.read(spark, str(tmp_path), skip_corrupt=True).count() == len(rows)
+    (tmp_path / "000003.ldb").write_bytes(good[:-1] + b"?")
+    assert table_file.read(spark, str(tmp_path), skip_corrupt=True).count() == 2 * len(rows) - first
+    assert sorted((r.path[-5], r.offset, r.reason) for r in table_file.skipped(spark, str(tmp_path)).collect()) == [("2", 0, "checksum"), ("3", -1, "footer")]
     assert table_file.read(spark, str(tmp_path / "000001.ldb"), rows[3][0], rows[9][0]).count() == 6
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.binary(min_size=1, max_size=5), st.binary(max_size=12), max_size=60), st.integers(1, 5), st.integers(20, 200), st.lists(st.binary(max_size=5), min_size=3, max_size=3))
+def test_seeks_against_a_dictionary(entries, gap, size, probes):
+    rows = sorted(entries.items())
+    t = table_file.Table(table_file.encode(rows, Options(restart_gap=gap, block_size=size)))
+    for p in probes + [k for k, _ in rows[:5]]:
+        assert t.find(p) == next((r for r in rows if r[0] >= p), None)
+        assert t.before(p) == next((r for r in reversed(rows) if r[0] < p), None)
+        assert t.get(p) == entries.get(p)
+    lo, hi = sorted(probes[:2])
+    inside = [r for r in rows if lo <= r[0] < hi]
+    assert list(t.entries(lo, hi)) == inside and t.before() == (rows[-1] if rows else None)
+    c = table_file.Cursor(t, lo, hi)
+    walked = []
+    while c.next():
+        walked.append(c.row)
+    back = []
+    while c.prev():
+        back.append(c.row)
+    assert walked == inside and back == inside[::-1]
+    assert c.seek(probes[2]) == bool(ahead := [r for r in inside if r[0] >= probes[2]]) and (not ahead or c.row == ahead[0])
+    assert c.first() == c.last() == bool(inside) and c.valid == bool(inside)
+    fresh = table_file.Cursor(t)
+    assert not fresh.prev() and fresh.last() == bool(rows) and (not rows or fresh.row == rows[-1])
+
+
+def test_restarts_are_searched(monkeypatch):
+    rows = some_rows(400)
+    t = table_file.Table(table_file.encode(rows, Options(block_size=1 << 20)))
+    block = t.block(0)
+    read = []
+    real = table_file.Block._entry
+    monkeypatch.setattr(table_file.Block, "_entry", lambda self, at, before: read.append(at) or real(self, at, before))
+    assert next(block.entries(rows[333][0])) == rows[333] and len(read) < 30
+
+
+def test_filters_are_chosen_by_name():
+    rows = some_rows(500)
+    loose, fine = comparer.Bloom(2, "loose"), comparer.Bloom(20, "fine")
+    data = table_file.encode(rows, Options(filter=loose))
+    assert table_file.Table(data, Options(filter=fine)).policy is None
+    assert table_file.Table(data, Options(filter=fine, alternatives=(comparer.Bloom(5, "other"), loose))).policy is loose
+    assert table_file.Table(data, Options(filter=loose)).policy is loose
+    none = table_file.Table(table_file.encode(rows, Options(filter=None)), Options(filter=fine))
+    assert none.policy is None and none.get(rows[3][0]) == rows[3][1]
+
+    class Nothing:
+        name = "nothing"
+
+        def build(self, keys):
+            return b"n"
+
+        def may_contain(self, filter_, key):
+            return False
+
+    with_own = table_file.Table(table_file.encode(rows, Options(filter=Nothing())), Options(filter=Nothing()))
+    assert with_own.get(rows[3][0]) is None and with_own.find(rows[3][0]) == rows[3]  # a plain seek asks no filter
+
+
+def test_other_collations():
+    back = comparer.Mapped("backwards", lambda k: tuple(-x for x in k) + (1,))
+    o = Options(comparer="backwards", comparers=(comparer.Bytewise(), back), block_size=64)
+    rows = sorted(some_rows(200), key=lambda r: back.key(r[0]))
+    t = table_file.Table(table_file.encode(rows, o), o)
+    assert list(t.entries(rows[20][0], rows[90][0])) == rows[20:90] and all(t.get(k) == v for k, v in rows)
+    with pytest.raises(Corrupted):
+        table_file.encode(rows)
+    for bad in ({"comparer": "absent"}, {"block_size": 0}, {"compression": "other"}):
+        with pytest.raises(ValueError):
+            Options(**bad)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.binary(max_size=4), st.integers(0, 9), st.integers(0, 1)), max_size=30, unique=True))
+def test_internal_keys_in_tables(entries):
+    o = Options(block_size=48)
+    order = sorted(entries, key=lambda e: (e[0], -e[1], -e[2]))
+    rows = [(keys.internal_key(*e), b"%d" % k) for k, e in enumerate(order)]
+    t = table_file.Table(table_file.encode(rows, o, o.internal_comparer(), o.internal_filter()), o, o.internal_comparer(), o.internal_filter())
+    assert list(t.entries()) == rows
+    for user in {e[0] for e in entries}:
+        for seq in (0, 4, 9):
+            found = t.find(keys.internal_key(user, seq, 1), filtered=True)
+            want = next((r for r, e in zip(rows, order, strict=True) if e[0] == user and e[1] <= seq), None)
+            assert want is None or found == want
+
+
 def test_table_edges():
     empty = table_file.Table(table_file.encode([]))
     assert list(empty.entries()) == [] and empty.get(b"a") is None
@@ -184,3 +296,32 @@ def test_storage(spark, tmp_path):
         d.list()
     with pytest.raises(ReadOnly):
         storage.Directory(tmp_path / "db", read_only=True).write(names.TABLE, 1, b"")
+
+
+def test_a_directory_on_any_file_system(spark, tmp_path):
+    d = storage.Directory(storage.HadoopFiles(spark, f"file://{tmp_path}/far"))
+    with pytest.raises(ReadOnly):
+        storage.Directory(storage.HadoopFiles(spark, f"file://{tmp_path}/far"))
+    d.write(names.MANIFEST, 1, b"one")
+    d.append(names.MANIFEST, 1, b" two")
+    d.set_current(1)
+    d.write(names.MANIFEST, 2, b"m")
+    d.set_current(2)
+    assert d.read(names.MANIFEST, 1) == b"one two" and d.current() == 2 and d.list() == [(names.MANIFEST, 1), (names.MANIFEST, 2)]
+    assert (d.bytes_written, d.bytes_read) == (8, 7)
+    d.rename((names.MANIFEST, 1), (names.TEMP, 4))
+    d.remove(names.MANIFEST, 2)
+    with pytest.raises(Corrupted):
+        d.current()
+    with pytest.raises(NotFound):
+        d.read(names.MANIFEST, 2)
+    d.close()
+    storage.Directory(storage.HadoopFiles(spark, f"file://{tmp_path}/far")).close()
+
+
+def test_text_log(tmp_path):
+    log = storage.text_log(tmp_path, 300)
+    for k in range(20):
+        log.info("line %d", k)
+    text = (tmp_path / "LOG").read_text()
+    assert "line 19" in text and (tmp_path / "LOG.1").exists() and len(text) <= 300

@@ -5,6 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from enum import IntFlag
 
+from .functions.comparer import Bloom, Bytewise, Comparer, FilterPolicy, Internal, UserKeys
+
 KIB, MIB = 1 << 10, 1 << 20
 
 
@@ -26,13 +28,19 @@ class Strict(IntFlag):
 @dataclass(frozen=True)
 class Options:
     """Engine options; sizes in bytes.  Level multipliers grow a limit with the
-    level, and ``*_per_level`` overrides the multiplier of single levels."""
+    level, and ``*_per_level`` overrides the multiplier of single levels.
+
+    ``comparer`` names the collation of user keys, one of ``comparers``.  Tables are
+    written with ``filter`` (None: without) and read with it or, if a table has
+    another one, with that of ``alternatives`` which bears its name.
+    """
 
     block_size: int = 4 * KIB
     restart_gap: int = 16
     write_buffer: int = 4 * MIB
     filter_base_lg: int = 11
-    bloom_bits: int = 10
+    filter: FilterPolicy | None = Bloom()
+    alternatives: tuple[FilterPolicy, ...] = ()
     compression: str = "snappy"
     l0_trigger: int = 4
     table_size: int = 2 * MIB
@@ -48,8 +56,28 @@ class Options:
     seek_bytes: int = 16384
     min_seeks: int = 100
     comparer: str = "tidemark.bytewise"
+    comparers: tuple[Comparer, ...] = (Bytewise(),)
     strict: Strict = Strict.DEFAULT
 
+    def __post_init__(self):
+        if self.comparer not in {c.name for c in self.comparers}:
+            raise ValueError(f"no comparer {self.comparer}")
+        if min(self.block_size, self.restart_gap, self.l0_trigger, self.table_size, self.total_size) < 1:
+            raise ValueError("sizes and counts have to be positive")
+        if self.compression not in ("snappy", "none"):
+            raise ValueError(f"no compression {self.compression}")
+
+    def user_comparer(self) -> Comparer:
+        return next(c for c in self.comparers if c.name == self.comparer)
+
+    def internal_comparer(self) -> Internal:
+        """The collation of internal keys that tables of a log are written in."""
+        return Internal(self.user_comparer())
+
+    def internal_filter(self) -> UserKeys | None:
+        """The filter asked with internal keys; only their user keys are in it."""
+        return UserKeys(self.filter) if self.filter else None
+
     def table_limit(self, level: int) -> int:
         """Size of a table that compaction writes to ``level``."""
         return _grown(self.table_size, self.table_multiplier, self.table_per_level, level)

@@ -8,7 +8,10 @@ type, least bytes first.  The rest of a block too short for a header is zero.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from enum import StrEnum
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,15 +22,28 @@ from ..functions.hashing import crc32c, masked
 #: Fixed values of the format.
 BLOCK, HEADER = 32 * 1024, 7
 FULL, FIRST, MIDDLE, LAST = 1, 2, 3, 4
+#: Records that a reader hands on together.
+BATCH = 4096
 
 
-def encode(records: Iterable[bytes]) -> bytes:
-    """The journal of some records."""
+class Fault(StrEnum):
+    """Why bytes of a journal were dropped."""
+
+    EMPTY = "header-empty"
+    TYPE = "type-unknown"
+    LENGTH = "length-beyond-block"
+    CHECKSUM = "checksum-differs"
+    INCOMPLETE = "record-incomplete"
+    STRAY = "part-without-start"
+
+
+def encode(records: Iterable[bytes], after: int = 0) -> bytes:
+    """The journal of some records, to stand behind ``after`` bytes of one."""
     out = bytearray()
     for record in records:
         at, first = 0, True
         while True:
-            room = BLOCK - len(out) % BLOCK
+            room = BLOCK - (after + len(out)) % BLOCK
             if room < HEADER:
                 out += bytes(room)
                 room = BLOCK
@@ -43,7 +59,7 @@ def encode(records: Iterable[bytes]) -> bytes:
     return bytes(out)
 
 
-def chunks(data: bytes, checksum: bool = True) -> Iterator[tuple[int, int, int, bytes, str | None, int]]:
+def chunks(data: bytes, checksum: bool = True) -> Iterator[tuple[int, int, int, bytes, Fault | None, int]]:
     """(block, offset, type, payload, fault, bytes dropped); a fault drops the rest of its block."""
     for begin in range(0, len(data), BLOCK):
         block = data[begin : begin + BLOCK]
@@ -53,13 +69,13 @@ def chunks(data: bytes, checksum: bool = True) -> Iterator[tuple[int, int, int,
             end = at + HEADER + size
             fault = None
             if not (crc or size or kind):
-                fault = "zero header"
+                fault = Fault.EMPTY
             elif not FULL <= kind <= LAST:
-                fault = f"invalid chunk type {kind}"
+                fault = Fault.TYPE
             elif end > len(block):
-                fault = "chunk length overflows block"
+                fault = Fault.LENGTH
             elif checksum and crc != masked(crc32c(block[at + 6 : end])):
-                fault = "checksum mismatch"
+                fault = Fault.CHECKSUM
             if fault:
                 yield begin // BLOCK, at, kind, b"", fault, len(block) - at
                 break
@@ -67,11 +83,11 @@ def chunks(data: bytes, checksum: bool = True) -> Iterator[tuple[int, int, int,
             at = end
 
 
-def decode(data: bytes, strict: bool = False, checksum: bool = True, dropped: Callable[[str, int], None] | None = None) -> Iterator[bytes]:
+def decode(data: bytes, strict: bool = False, checksum: bool = True, dropped: Callable[[Fault, int], None] | None = None) -> Iterator[bytes]:
     """Records of a journal.  What can't be read is dropped and reported; with
     ``strict`` it raises, save for orphan chunks, which are always skipped."""
 
-    def drop(reason: str, n: int, skip: bool = False) -> None:
+    def drop(reason: Fault, n: int, skip: bool = False) -> None:
         if dropped:
             dropped(reason, n)
         if strict and not skip:
@@ -84,10 +100,10 @@ def decode(data: bytes, strict: bool = False, checksum: bool = True, dropped: Ca
             drop(fault, n)
         elif kind in (FULL, FIRST):
             if held is not None:
-                drop("missing chunk part", sum(map(len, held)))
+                drop(Fault.INCOMPLETE, sum(map(len, held)))
             held = [payload]
         elif held is None:
-            drop("orphan chunk", len(payload) + HEADER, True)
+            drop(Fault.STRAY, len(payload) + HEADER, True)
             continue
         else:
             held.append(payload)
@@ -95,37 +111,85 @@ def decode(data: bytes, strict: bool = False, checksum: bool = True, dropped: Ca
             yield b"".join(held)
             held = None
     if held is not None:
-        drop("missing chunk part", 0)
+        drop(Fault.INCOMPLETE, 0)
 
 
 RECORD = "path string, record_no long, record binary"
 DROPPED = "path string, reason string, bytes long"
+CHUNK = "path string, chunk_no long, block_no long, at long, type long, bytes long"
 
 
-def read(spark: SparkSession, path: str, strict: bool = False, checksum: bool = True) -> DataFrame:
-    """``path, record_no, record`` of all journals at ``path``, one task a file."""
+def records(files: DataFrame, strict: bool = False, checksum: bool = True) -> DataFrame:
+    """:data:`RECORD` of journals given as ``path, content``, one task a file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                for k, record in enumerate(decode(content.as_py(), strict, checksum)):
-                    yield pa.record_batch([pa.array([name]), pa.array([k], pa.int64()), pa.array([record], pa.binary())], names=["path", "record_no", "record"])
+                found = decode(content.as_py(), strict, checksum)
+                first = 0
+                while some := list(islice(found, BATCH)):
+                    numbers = np.arange(first, first + len(some))
+                    first += len(some)
+                    yield pa.record_batch([pa.array([name] * len(some)), pa.array(numbers), pa.array(some, pa.binary())], names=["path", "record_no", "record"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, RECORD)
+    return files.select("path", "content").mapInArrow(run, RECORD)
 
 
-def read_dropped(spark: SparkSession, path: str, checksum: bool = True) -> DataFrame:
-    """``path, reason, bytes`` of what :func:`read` skips."""
+def dropped(files: DataFrame, checksum: bool = True) -> DataFrame:
+    """:data:`DROPPED`: what :func:`records` skips."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                found: list[tuple[str, int]] = []
+                found: list[tuple[Fault, int]] = []
                 for _ in decode(content.as_py(), False, checksum, lambda r, n, f=found: f.append((r, n))):
                     pass
-                yield pa.record_batch([pa.array([name] * len(found), pa.string()), pa.array([r for r, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], names=["path", "reason", "bytes"])
+                yield pa.record_batch([pa.array([name] * len(found), pa.string()), pa.array([str(r) for r, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], names=["path", "reason", "bytes"])
+
+    return files.select("path", "content").mapInArrow(run, DROPPED)
+
+
+def chunk_rows(files: DataFrame, checksum: bool = True) -> DataFrame:
+    """:data:`CHUNK`: the chunks of journals in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                found = [(k, block, at, kind, len(payload)) for k, (block, at, kind, payload, _, _) in enumerate(chunks(content.as_py(), checksum))]
+                cols = list(zip(*found, strict=True)) or [()] * 5
+                yield pa.record_batch([pa.array([name] * len(found), pa.string()), *[pa.array(c, pa.int64()) for c in cols]], names=["path", "chunk_no", "block_no", "at", "type", "bytes"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, DROPPED)
+    return files.select("path", "content").mapInArrow(run, CHUNK)
+
+
+def write(rows: DataFrame, journal: str, order: str, record: str) -> DataFrame:
+    """``path, content``: the text column ``record`` as one journal for each value of
+    ``journal``, in the order of ``order``; sorted by Spark, one task a journal."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_at, out = None, bytearray()
+        for b in batches:
+            for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if name != open_at:
+                    if open_at is not None:
+                        yield pa.record_batch([pa.array([open_at]), pa.array([bytes(out)], pa.binary())], names=["path", "content"])
+                    open_at, out = name, bytearray()
+                out += encode([text.encode()], len(out))
+        if open_at is not None:
+            yield pa.record_batch([pa.array([open_at]), pa.array([bytes(out)], pa.binary())], names=["path", "content"])
+
+    named = rows.select(F.col(journal).cast("string").alias("path"), F.col(record).alias("record"), F.col(order).alias("o")).repartition("path")
+    return named.sortWithinPartitions("path", "o").select("path", "record").mapInArrow(run, "path string, content binary")
+
+
+def read(spark: SparkSession, path: str, strict: bool = False, checksum: bool = True) -> DataFrame:
+    """:data:`RECORD` of all journals at ``path``."""
+    return records(spark.read.format("binaryFile").load(path), strict, checksum)
+
+
+def read_dropped(spark: SparkSession, path: str, checksum: bool = True) -> DataFrame:
+    """:data:`DROPPED` of all journals at ``path``."""
+    return dropped(spark.read.format("binaryFile").load(path), checksum)
 
 
 def reassemble(parts: DataFrame, journal: str, order: list[str]) -> DataFrame:

@@ -61,14 +61,14 @@ def decode(data: bytes) -> Edit:
 
     def signed(name: str) -> int:
         if (n := number(name)) >> 63:
-            raise Corrupted("invalid negative value", name)
+            raise Corrupted("number beyond 63 bits", name)
         return n
 
     def raw(name: str) -> bytes:
         nonlocal at
         n = number(name)
         if at + n > len(data):
-            raise Corrupted("short read", name)
+            raise Corrupted("ends too early", name)
         at += n
         return data[at - n : at]
 

@@ -5,6 +5,9 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
+from tidemark.errors import NotFound
 from tidemark.functions import keys
 from tidemark.operators import read, scan, write
 from tidemark.options import Options, Strict
@@ -142,12 +145,94 @@ def test_compaction(spark):
     found = lambda df: sorted((r.ukey, r.seq) for r in df.collect())
     assert found(write.compact(log, inputs, bottom=False)) == [("a", 9), ("b", 8), ("c", 7)]
     assert found(write.compact(log, inputs, bottom=True)) == [("b", 8)]
-    assert found(write.compact(log, inputs, bottom=False, oldest_pin=5)) == [("a", 4), ("a", 9), ("b", 3), ("b", 8), ("c", 7)]
+    assert found(write.compact(log, inputs, bottom=False, pins=[5])) == [("a", 4), ("a", 9), ("b", 3), ("b", 8), ("c", 7)]
     # With a pin below it, the tombstone still hides the value that the pin sees.
-    kept = write.compact(log, inputs, bottom=True, oldest_pin=5)
+    kept = write.compact(log, inputs, bottom=True, pins=[5])
     assert read.get(kept, "a").count() == 0 and [r.seq for r in read.get(kept, "a", 5).collect()] == [4]
 
 
+def test_compaction_keeps_what_snapshots_read(spark):
+    rng = random.Random(21)
+    for invariant in (True, False):
+        seqs = rng.sample(range(400), 150)
+        rows = [((0 if s > 250 else 1) if invariant else rng.randrange(3), rng.randrange(4), rng.choice("abcdef"), s, rng.randrange(2), float(s)) for s in seqs]
+        log, pins = spark.createDataFrame(rows, LOG), sorted(rng.sample(range(400), 4))
+        for bottom in (False, True):
+            kept = [tuple(r) for r in write.compact(log, log.select("file_num"), bottom, pins).select(*log.columns).collect()]
+            merged = [(1, *r[1:]) for r in kept]  # all go to one level
+            for pin in [*pins, None]:
+                for k in "abcdef":
+                    a, b = model_get(rows, k, pin), model_get(merged, k, pin)
+                    assert (a and a[3]) == (b and b[3])
+            needed = {m[3] for pin in [*pins, None] for k in "abcdef" if (m := model_get([(*r[:4], 1, r[5]) for r in rows], k, pin))}
+            assert {r[3] for r in kept} <= needed and (bottom or {r[3] for r in kept} == needed)
+
+
+def test_only_one_version_a_key_is_shuffled(spark, tmp_path):
+    spark.range(1000).selectExpr("0 as level", "0L as file_num", "cast(id % 5 as string) as ukey", "id as seq", "cast(1 as byte) as kind", "1.0 as value").write.parquet(str(tmp_path / "t"))
+    plan = read.resolve(spark.read.parquet(str(tmp_path / "t")))._jdf.queryExecution().executedPlan().toString()
+    exchange, partial = plan.index("Exchange hashpartitioning"), plan.rindex("WindowGroupLimit")
+    assert partial > exchange and "Partial" in plan[partial : partial + 200]  # versions drop out before the exchange
+
+
+def test_ordered_plans_in_segments(spark):
+    rng = random.Random(31)
+    rows = [(rng.randrange(3), k, rng.randrange(500)) for k in range(400)]
+    df = spark.createDataFrame(rows, "g int, num long, k long")
+    groups = {g: sorted([(k, n) for h, n, k in rows if h == g]) for g in range(3)}
+    for cuts in (None, [], [100, 200]):
+        got = {(r.g, r.num): r.pos for r in ranges.numbered(df, ["g"], "k", [F.col("k"), F.col("num")], cuts=cuts).collect()}
+        assert got == {(g, n): i + 1 for g, own in groups.items() for i, (_, n) in enumerate(own)}
+        asked = spark.createDataFrame([(g, k) for g in range(4) for k in range(-1, 502, 7)], "g int, k long")
+        for inclusive in (True, False):
+            found = ranges.running_totals(asked, df, "k", "num", "t", ["g"], inclusive, cuts).collect()
+            assert len(found) == 4 * 72 and all(r.t == sum(n for k, n in groups.get(r.g, []) if k < r.k or inclusive and k == r.k) for r in found)
+        once = df.dropDuplicates(["g", "k"])
+        near = {(r.g, r.k): (r.pos, r.prev_key, r.next_key) for r in ranges.with_neighbours(once, "g", "k", cuts).collect()}
+        for g, own in groups.items():
+            ks = sorted({k for k, _ in own})
+            assert all(near[g, k] == (i + 1, ks[i - 1] if i else None, ks[i + 1] if i + 1 < len(ks) else None) for i, k in enumerate(ks))
+        spans = [(g, n, k, k + n % 4) for g, n, k in rows]
+        meta = spark.createDataFrame(spans, "level int, num long, imin_k long, imax_k long")
+        numbers = {(r.level, r.num): r.island for r in layout.islands(meta, cuts=cuts).collect()}
+        for g in range(3):
+            reach, island = -1, 0
+            for lo, hi, n in sorted((a, b, n) for h, n, a, b in spans if h == g):
+                island += lo > reach
+                reach = max(reach, hi)
+                assert numbers[g, n] == island
+
+
+def test_seek_budgets_are_carried(spark):
+    old = spark.createDataFrame([(1, 7), (2, -3)], "num long, seek_left int")
+    new = spark.createDataFrame([(0, 1, 10), (0, 2, 10), (1, 3, 16384 * 200)], "level int, num long, size long")
+    left = layout.carried_budgets(old, new)
+    assert {r.num: r.seek_left for r in left.collect()} == {1: 7, 2: -3, 3: 200}
+    used = spark.createDataFrame([(1, 0, 3, 0), (2, 0, 9, -2), (3, 1, 1, 5)], "num long, level int, seeks long, seek_left int")
+    assert layout.seek_nominee(used).first().num == 2 and layout.seek_nominee(used.where("num = 3")).first() is None
+
+
+def test_snapshot_restores_a_version(spark):
+    files = spark.createDataFrame([(0, 1, 10, "a", "c"), (1, 2, 20, "b", "d"), (1, 3, 5, "e", "f")], "level int, num long, size long, imin_k string, imax_k string")
+    edit = manifest.snapshot_edit(files)
+    assert sorted(map(tuple, manifest.restored(edit).collect())) == sorted(map(tuple, files.collect()))
+    folded = manifest.fold(edit.select("edit_no", F.explode("added").alias("t")).select("edit_no", F.lit(1).alias("op"), "t.*"))
+    assert folded.count() == 3 and manifest.ordered(files).where("level = 1").orderBy("place").first().num == 2
+
+
+def test_scan_helpers(spark):
+    rows = spark.createDataFrame([(k,) for k in "badc"], "ukey string")
+    assert [(r.ukey, r.pos) for r in scan.reversed_scan(rows).orderBy("pos").collect()] == [("d", 1), ("c", 2), ("b", 3), ("a", 4)]
+    assert tuple(scan.ends(rows).first()) == ("a", "d", 4) and write.reset(rows).count() == 0 and scan.empty(rows).columns == ["ukey"]
+    lists = spark.createDataFrame([(1, [5, 6]), (2, []), (3, None)], "g int, xs array<int>")
+    assert [tuple(r) for r in scan.of_array(lists, "xs", "x").collect()] == [(1, 0, 5), (1, 1, 6)]
+    try:
+        scan.empty(rows, NotFound("gone"))
+        raise AssertionError
+    except NotFound:
+        pass
+
+
 def test_memtable_level(spark):
     meta = spark.createDataFrame([(0, 1, 10, 0, 9), (1, 2, 10, 20, 29), (2, 3, 10, 40, 49), (3, 4, 10**9, 60, 69)], "level int, num long, size long, imin_k long, imax_k long")
     assert layout.memtable_level(meta, 5, 6, 2) == 0
@@ -196,5 +281,17 @@ def test_options():
     assert not o.is_strict(Strict.READER, Strict.OVERRIDE) and o.is_strict(Strict.JOURNAL, Strict.JOURNAL)
 
 
+def test_cache_moves():
+    c = cache.Lru(10)
+    for ns, key, size in ((1, "a", 4), (2, "b", 4), (1, "c", 2)):
+        assert not c.get((ns, key), size)
+    assert c.get((1, "a"), 4) and c.evict((2, "b")) and not c.evict((2, "b")) and c.used == 6
+    c.set_capacity(4)
+    assert list(c.held) == [(1, "a")] and c.evictions == 1
+    assert c.delete((1, "a")) and not c.get((1, "a"), 4) and c.used == 0  # deleted for good
+    c.get((3, "x"), 1), c.get((3, "y"), 1), c.get((4, "z"), 1)
+    assert c.evict_namespace(3) == 2 and c.evict_all() == 1 and c.used == 0
+
+
 def test_lru():
     assert cache.lru([("a", 4), ("b", 4), ("a", 4), ("c", 4), ("b", 4), ("x", 99)], 8) == (1, 5, 2, 8)

@@ -47,6 +47,11 @@ def get_key(log: DataFrame, key: str, seq: int | None = None) -> DataFrame:
     return get(log.drop("value"), key, seq).select("ukey", "seq")
 
 
+def scan_keys(log: DataFrame, seq: int | None = None) -> DataFrame:
+    """All live keys without values, which are never read."""
+    return scan_latest(log.select("level", "file_num", "ukey", "seq", "kind"), seq).select("ukey", "seq")
+
+
 def multi_get(log: DataFrame, keys: DataFrame, seq: int | None = None) -> DataFrame:
     """Live entries of the keys in ``keys.ukey``; a semi join, whose side Spark
     broadcasts if its size allows."""
@@ -74,12 +79,13 @@ def history(log: DataFrame) -> DataFrame:
     )
 
 
-def files_for_keys(meta: DataFrame, keys: DataFrame) -> DataFrame:
+def files_for_keys(meta: DataFrame, keys: DataFrame, more: list[str] = ()) -> DataFrame:
     """Files to look into for each key, in the order of the walk: level, then
-    newer files first.  ``meta`` has one row per file."""
-    order = Window.partitionBy("ukey").orderBy("level", F.desc("num"))
-    hit = overlap_join(keys.select("ukey"), meta.select("level", "num", "imin_k", "imax_k"), ("ukey", "ukey"), ("imin_k", "imax_k"))
-    return hit.select("ukey", "level", "num", F.row_number().over(order).alias("step"))
+    newer files first.  ``meta`` has one row per file; ``more`` columns of ``keys``
+    tell equal keys apart."""
+    order = Window.partitionBy("ukey", *more).orderBy("level", F.desc("num"))
+    hit = overlap_join(keys.select("ukey", *more), meta.select("level", "num", "imin_k", "imax_k"), ("ukey", "ukey"), ("imin_k", "imax_k"))
+    return hit.select("ukey", *more, "level", "num", F.row_number().over(order).alias("step"))
 
 
 def find_ge(rows: DataFrame, key: Column | str | int, column: str = "ukey") -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.ranges import with_neighbours
 from . import read
 
 
@@ -71,5 +72,29 @@ def level_scan(log: DataFrame, level: int, keys: Range = Range()) -> DataFrame:
 
 def positions(rows: DataFrame, group: str, key: str = "ukey") -> DataFrame:
     """Cursor view: position, previous and next key within each ``group``."""
-    w = Window.partitionBy(group).orderBy(key)
-    return rows.select(group, key, F.row_number().over(w).alias("pos"), F.lag(key).over(w).alias("prev_key"), F.lead(key).over(w).alias("next_key"))
+    return with_neighbours(rows, group, key)
+
+
+def reversed_scan(rows: DataFrame, key: str = "ukey") -> DataFrame:
+    """``key, pos``: all keys from the last to the first with their position."""
+    counted = with_neighbours(rows.select(F.lit(0).alias("_g"), key), "_g", key)
+    n = rows.count()
+    return counted.select(key, (F.lit(n + 1) - F.col("pos")).cast("int").alias("pos"))
+
+
+def of_array(lists: DataFrame, column: str, name: str) -> DataFrame:
+    """Rows of an array column with their index from 0; null or empty: none."""
+    kept = [c for c in lists.columns if c != column]
+    return lists.select(*kept, F.posexplode(column).alias("pos", name)).withColumn("pos", F.col("pos").cast("long"))
+
+
+def ends(rows: DataFrame, key: str = "ukey") -> DataFrame:
+    """First and last key and the number of rows, one row."""
+    return rows.agg(F.min(key).alias("first_key"), F.max(key).alias("last_key"), F.count("*").alias("entries"))
+
+
+def empty(rows: DataFrame, error: Exception | None = None) -> DataFrame:
+    """No rows of the same columns; with ``error`` it is raised instead, at once."""
+    if error is not None:
+        raise error
+    return rows.limit(0)

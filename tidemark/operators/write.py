@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +38,11 @@ def memory_stats(log: DataFrame, group: str, value_bytes: int = 8) -> DataFrame:
     return log.groupBy(group).agg(F.count("*").alias("entries"), F.sum(F.octet_length("ukey") + value_bytes).cast("long").alias("bytes"))
 
 
+def reset(rows: DataFrame) -> DataFrame:
+    """A memtable emptied: the same columns, no rows."""
+    return rows.limit(0)
+
+
 def flush(log: DataFrame, path: str, partitions: int | None = None) -> DataFrame:
     """Write sorted tables and return their metadata.
 
@@ -49,29 +56,37 @@ def flush(log: DataFrame, path: str, partitions: int | None = None) -> DataFrame
     return written.groupBy(F.input_file_name().alias("file")).agg(F.min("ukey").alias("imin_k"), F.max("ukey").alias("imax_k"), F.count("*").alias("entries"))
 
 
-def out_of_order(rows: DataFrame, group: str, key: str, seq: str) -> DataFrame:
-    """Rows that don't follow the one before them in (key, newest first)."""
-    w = Window.partitionBy(group).orderBy(F.monotonically_increasing_id())
-    before = F.struct(F.lag(key).over(w).alias("k"), (-F.lag(seq).over(w)).alias("s"))
-    return rows.withColumn("_b", before).where(F.col("_b.k").isNotNull() & (F.struct(F.col(key).alias("k"), (-F.col(seq)).alias("s")) <= F.col("_b"))).drop("_b")
+def out_of_order(rows: DataFrame, group: str, key: str, seq: str, place: str) -> DataFrame:
+    """Rows that don't follow the one before them in (key, newest first), where
+    ``place`` is the position that a row has in its group."""
+    w = Window.partitionBy(group).orderBy(place)
+    before_key, before_seq = F.lag(key).over(w), F.lag(seq).over(w)
+    wrong = (before_key > F.col(key)) | ((before_key == F.col(key)) & (before_seq <= F.col(seq)))
+    return rows.withColumn("_bad", F.coalesce(wrong, F.lit(False))).where("_bad").drop("_bad")
 
 
-def compact(log: DataFrame, inputs: DataFrame, bottom: bool, oldest_pin: int | None = None) -> DataFrame:
+def compact(log: DataFrame, inputs: DataFrame, bottom: bool, pins: Sequence[int] = ()) -> DataFrame:
     """What a compaction of the files ``inputs.file_num`` writes.
 
-    Of each key stays the newest entry, and with a pinned snapshot also the
-    newest one that it sees.  A tombstone goes only at the bottom level, where
-    nothing older can lie below, and only if no snapshot needs it.
+    Of each key stays what a read finds now or at a pinned sequence number.  An
+    entry is found by reads from its own number up to that of the first entry that
+    hides it: a newer one of its level, or any of a smaller level.
+
+    A tombstone goes only at the bottom level, where nothing can lie below, and
+    only if it hides no older value that stays for a snapshot.
     """
     chosen = log.join(inputs.select("file_num").distinct(), "file_num", "left_semi")
-    if oldest_pin is None:
-        kept = read.resolve(chosen)
-    else:
-        # Newest of all, and newest of those at or below the pin.
-        side = (F.col("seq") > oldest_pin).cast("int")
-        w = Window.partitionBy("ukey", "side").orderBy(F.desc("seq"), F.desc("kind"))
-        kept = chosen.withColumn("side", side).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "side")
+    # At equal numbers in a level the live kind counts, as in reads.
+    same = Window.partitionBy("ukey", "level", "seq").orderBy(F.desc("kind"), F.desc("file_num"))
+    once = chosen.withColumn("_n", F.row_number().over(same)).where("_n = 1").drop("_n")
+    newer = F.lead("seq").over(Window.partitionBy("ukey", "level").orderBy("seq"))
+    above = F.min("seq").over(Window.partitionBy("ukey").orderBy("level").rangeBetween(Window.unboundedPreceding, -1))
+    until = F.least(newer, above)  # null: never hidden
+    pinned = F.lit(False)
+    if pins:
+        pinned = F.exists(F.array(*[F.lit(p).cast("long") for p in sorted(set(pins))]), lambda p: (p >= F.col("seq")) & (p < F.col("_until")))
+    kept = once.withColumn("_until", until).where(F.col("_until").isNull() | pinned).drop("_until")
     if not bottom:
         return kept
-    older = F.min("seq").over(Window.partitionBy("ukey"))
-    return kept.withColumn("_o", older).where((F.col("kind") == read.LIVE) | (F.col("_o") < F.col("seq"))).drop("_o")
+    oldest = F.min(F.when(F.col("kind") == read.LIVE, F.col("seq"))).over(Window.partitionBy("ukey"))
+    return kept.withColumn("_o", oldest).where((F.col("kind") == read.LIVE) | (F.col("_o") < F.col("seq"))).drop("_o")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import OrderedDict
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -16,36 +16,76 @@ def hit_stats(accesses: DataFrame) -> DataFrame:
     return marked.groupBy("ns").agg(F.count("*").alias("gets"), F.sum("miss").alias("misses"), (F.count("*") - F.sum("miss")).alias("hits"), F.sum(F.col("miss") * F.col("size")).alias("bytes"))
 
 
+class Lru:
+    """A cache of bounded size that evicts what was used longest ago.  Keys are
+    ``(namespace, key)``; what is larger than the capacity is never admitted."""
+
+    def __init__(self, capacity: int):
+        self.capacity, self.used = capacity, 0
+        self.hits = self.misses = self.evictions = 0
+        self.held: OrderedDict[tuple, int] = OrderedDict()
+        self.banned: set[tuple] = set()
+
+    def get(self, key: tuple, size: int) -> bool:
+        """Whether ``key`` was there; now it is, unless it is too large or banned."""
+        if key in self.held:
+            self.hits += 1
+            self.held.move_to_end(key)
+            return True
+        self.misses += 1
+        if size <= self.capacity and key not in self.banned:
+            self.held[key] = size
+            self.used += size
+            self._shrink()
+        return False
+
+    def _shrink(self) -> None:
+        while self.used > self.capacity:
+            self.used -= self.held.popitem(last=False)[1]
+            self.evictions += 1
+
+    def evict(self, key: tuple) -> bool:
+        """Drop one entry; it may come back."""
+        found = key in self.held
+        if found:
+            self.used -= self.held.pop(key)
+        return found
+
+    def evict_namespace(self, namespace) -> int:
+        return sum(self.evict(k) for k in [k for k in self.held if k[0] == namespace])
+
+    def evict_all(self) -> int:
+        return sum(self.evict(k) for k in list(self.held))
+
+    def delete(self, key: tuple) -> bool:
+        """Drop one entry, and never admit it again."""
+        self.banned.add(key)
+        return self.evict(key)
+
+    def set_capacity(self, capacity: int) -> None:
+        self.capacity = capacity
+        self._shrink()
+
+
 def lru(accesses: list[tuple], capacity: int) -> tuple[int, int, int, int]:
-    """(hits, misses, evictions, bytes held); entries over the capacity are not admitted."""
-    held: OrderedDict = OrderedDict()
-    used = hits = misses = evictions = 0
+    """(hits, misses, evictions, bytes held) of accesses (key, size)."""
+    cache = Lru(capacity)
     for key, size in accesses:
-        if key in held:
-            hits += 1
-            held.move_to_end(key)
-            continue
-        misses += 1
-        if size > capacity:
-            continue
-        held[key] = size
-        used += size
-        while used > capacity:
-            used -= held.popitem(last=False)[1]
-            evictions += 1
-    return hits, misses, evictions, used
-
-
-def lru_stats(accesses: DataFrame, capacity: int, shards: int = 16) -> DataFrame:
+        cache.get((None, key), size)
+    return cache.hits, cache.misses, cache.evictions, cache.used
+
+
+def lru_stats(accesses: DataFrame, capacity: int, shards: int = 16, shard: Column | None = None) -> DataFrame:
     """An LRU cache of ``capacity`` bytes for each namespace and shard of its keys.
 
     A cache works through its accesses in order, so a shard is one task; more
-    shards, as in a sharded cache, give more of them.
+    shards, as in a sharded cache, give more of them.  Keys are dealt by ``shard`` or
+    their hash.
     """
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("t")
         return pd.DataFrame([(*key, *lru(list(zip(rows["key"], rows["size"], strict=True)), capacity))], columns=["ns", "shard", "hits", "misses", "evictions", "bytes"])
 
-    dealt = accesses.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
+    dealt = accesses.withColumn("shard", F.pmod(F.xxhash64("key") if shard is None else shard, F.lit(shards)).cast("long"))
     return dealt.groupBy("ns", "shard").applyInPandas(run, "ns long, shard long, hits long, misses long, evictions long, bytes long")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..options import Options
-from .ranges import overlap_join
+from .ranges import cuts_of, overlap_join, running_totals, segment
 
 
 def overlapping(meta: DataFrame, low, high) -> DataFrame:
@@ -29,13 +29,23 @@ def overlap_pairs(upper: DataFrame, lower: DataFrame) -> DataFrame:
     return overlap_join(a, b, ("imin_k", "imax_k"), ("lo", "hi")).select("num", "other")
 
 
-def islands(meta: DataFrame, group: str = "level") -> DataFrame:
+def islands(meta: DataFrame, group: str = "level", cuts: list | None = None) -> DataFrame:
     """``meta`` with the number of its island: files that overlap or touch, also
-    through others.  One pass by the running maximum of the ends."""
-    w = Window.partitionBy(group).orderBy("imin_k", "imax_k", "num")
-    before = F.max("imax_k").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    begins = F.when(before.isNull() | (F.col("imin_k") > before), 1).otherwise(0)
-    return meta.withColumn("_b", begins).withColumn("island", F.sum("_b").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_b")
+    through others.  A file begins an island if it begins behind the greatest end
+    so far; that and the number of islands are carried from segment to segment."""
+    cuts = cuts_of(meta, "imin_k") if cuts is None else cuts
+    at = meta.withColumn("_segment", segment(F.col("imin_k"), cuts))
+    before = Window.partitionBy(group).orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
+    ends = at.groupBy(group, "_segment").agg(F.max("imax_k").alias("_hi"))
+    ends = ends.select(group, "_segment", F.max("_hi").over(before).alias("_carried"))
+    own = Window.partitionBy(group, "_segment").orderBy("imin_k", "imax_k", "num")
+    reach = F.greatest(F.max("imax_k").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.col("_carried"))  # nulls are skipped
+    begun = at.join(ends, [group, "_segment"]).withColumn("_b", F.when(reach.isNull() | (F.col("imin_k") > reach), 1).otherwise(0))
+    counts = begun.groupBy(group, "_segment").agg(F.sum("_b").alias("_n"))
+    counts = counts.select(group, "_segment", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_c"))
+    out = begun.join(counts, [group, "_segment"])
+    island = F.sum("_b").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.col("_c")
+    return out.withColumn("island", island).drop("_b", "_c", "_carried", "_segment")
 
 
 def closure(meta: DataFrame, low, high, group: str = "level") -> DataFrame:
@@ -70,29 +80,55 @@ def next_compaction(meta: DataFrame, options: Options = Options()) -> DataFrame:
     return scores(meta, options).orderBy(F.desc("score"), "level").limit(1).withColumn("needed", F.col("score") >= 1)
 
 
-def approximate_offsets(meta: DataFrame, keys: DataFrame, key: str = "ukey") -> DataFrame:
-    """Bytes before each key: whole files that end at or before it, and the share
-    of files around it (estimated in proportion to their entries' order as half)."""
-    k = F.col(key)
-    part = F.when(F.col("imax_k") <= k, F.col("size")).when(F.col("imin_k") > k, 0).otherwise(F.floor(F.col("size") / 2))
-    # Keys are few (the ends of ranges that someone asks for) and files have one row each.
-    return keys.join(meta, F.col("imin_k") <= k, "left").groupBy(key).agg(F.coalesce(F.sum(part), F.lit(0)).cast("long").alias("offset"))
+def approximate_offsets(meta: DataFrame, blocks: DataFrame, keys: DataFrame, key: str = "ukey") -> DataFrame:
+    """``key, offset``: bytes before each distinct key.
+
+    Whole files that end at or before it count with their size: a running sum in
+    order of their ends.  A file around it counts up to the block that a seek finds.
+    ``meta`` has ``num, size, imin_k, imax_k``, ``blocks`` those of
+    :func:`~tidemark.sources.table_file.block_index`.
+    """
+    asked = keys.select(F.col(key).alias("k")).distinct()
+    whole = running_totals(asked, meta.select(F.col("imax_k").alias("k"), "size"), "k", "size", "whole", [], True)
+    # A block is found by the keys behind the index key before it, up to its own; the
+    # first one by all from the file's first key on.
+    before = F.lag("top_key").over(Window.partitionBy("file_num").orderBy("block"))
+    spans = blocks.select(F.col("file_num").alias("num"), "offset", "top_key", before.alias("behind"))
+    spans = spans.join(meta.select("num", "imin_k", "imax_k"), "num").withColumn("lo", F.greatest("imin_k", "behind")).withColumn("hi", F.least("top_key", "imax_k"))
+    hit = overlap_join(asked, spans, ("k", "k"), ("lo", "hi")).where((F.col("k") < F.col("imax_k")) & (F.col("behind").isNull() | (F.col("k") > F.col("behind"))))
+    inside = hit.groupBy("k").agg(F.sum("offset").alias("inside"))
+    return whole.join(inside, "k", "left").select(F.col("k").alias(key), (F.col("whole") + F.coalesce("inside", F.lit(0))).cast("long").alias("offset"))
 
 
 def seek_budgets(meta: DataFrame, options: Options = Options()) -> DataFrame:
     return meta.withColumn("seek_left", F.greatest(F.lit(options.min_seeks), F.floor(F.col("size") / options.seek_bytes)).cast("int"))
 
 
+def carried_budgets(before: DataFrame, meta: DataFrame, options: Options = Options()) -> DataFrame:
+    """Budgets of the files of a new version: what is left from the version before,
+    or a fresh one for a new file."""
+    left = before.select("num", F.col("seek_left").alias("_left"))
+    return seek_budgets(meta, options).join(left, "num", "left").withColumn("seek_left", F.coalesce("_left", "seek_left").cast("int")).drop("_left")
+
+
 def seek_exhausted(meta: DataFrame, probes: DataFrame, options: Options = Options()) -> DataFrame:
     """``num, level, seeks, seek_left`` for the first file of each probe that had
-    to touch two files or more; ``probes`` has ``ukey, step, level, num``."""
+    to touch two files or more; ``probes`` has ``ukey, step, level, num``.
+
+    ``meta`` may carry ``seek_left`` from versions before."""
     touched = Window.partitionBy("ukey")
     first = probes.withColumn("n", F.count("*").over(touched)).where("n >= 2 and step = 1")
     used = first.groupBy("level", "num").agg(F.count("*").alias("seeks"))
-    budget = seek_budgets(meta, options).select("num", "seek_left")
+    budget = (meta if "seek_left" in meta.columns else seek_budgets(meta, options)).select("num", "seek_left")
     return used.join(budget, "num").select("level", "num", "seeks", (F.col("seek_left") - F.col("seeks")).alias("seek_left"))
 
 
+def seek_nominee(used: DataFrame) -> DataFrame:
+    """The file to compact because its seeks are used up: of several the one that
+    overdrew most, then that with the smaller number; or no row."""
+    return used.where("seek_left <= 0").orderBy("seek_left", "num").limit(1)
+
+
 def memtable_level(meta: DataFrame, low, high, max_level: int, options: Options = Options()) -> int:
     """The deepest level up to ``max_level`` that a new table of the closed range
     may go to: nothing overlaps it above or there, and it overlaps few bytes two
@@ -130,9 +166,21 @@ def compaction_inputs(meta: DataFrame, level: int, low, high) -> DataFrame:
 def search_positions(meta: DataFrame, keys: DataFrame, key: str = "ukey") -> DataFrame:
     """Per level and key, positions from 0 in the files ordered by key: the first
     file that begins at or after it, and the first that ends at or after it.
-    Behind the last file: the number of files."""
-    k = F.col(key)
-    levels = meta.groupBy("level").agg(F.collect_list(F.struct("imin_k", "imax_k")).alias("files"))
-    each = keys.select(key).distinct().withColumn("level", F.explode(F.array(*[F.lit(r.level) for r in levels.select("level").collect()])))
-    found = each.join(levels, "level")
-    return found.select(key, "level", F.size(F.filter("files", lambda f: f.imin_k < k)).alias("begins_at"), F.size(F.filter("files", lambda f: f.imax_k < k)).alias("ends_at"))
+    Behind the last file: the number of files.  Running counts of both ends."""
+    levels = [r.level for r in meta.select("level").distinct().collect()]  # a handful
+    asked = keys.select(F.col(key).alias("k")).distinct().withColumn("level", F.explode(F.array(*[F.lit(n) for n in levels]) if levels else F.array().cast("array<int>")))
+    ends = {}
+    for name, column in (("begins_at", "imin_k"), ("ends_at", "imax_k")):
+        points = meta.select("level", F.col(column).alias("k"), F.lit(1).alias("one"))
+        ends[name] = running_totals(asked, points, "k", "one", name, ["level"], False)
+    both = ends["begins_at"].join(ends["ends_at"], ["level", "k"])
+    return both.select(F.col("k").alias(key), "level", F.col("begins_at").cast("int").alias("begins_at"), F.col("ends_at").cast("int").alias("ends_at"))
+
+
+def numbered_below(meta: DataFrame, nums: DataFrame, num: str = "num") -> DataFrame:
+    """Per level and number, how many files have a smaller one: the position from 0
+    of a search in files ordered by number."""
+    levels = [r.level for r in meta.select("level").distinct().collect()]
+    asked = nums.select(F.col(num).alias("k")).distinct().withColumn("level", F.explode(F.array(*[F.lit(n) for n in levels]) if levels else F.array().cast("array<int>")))
+    points = meta.select("level", F.col("num").alias("k"), F.lit(1).alias("one"))
+    return running_totals(asked, points, "k", "one", "below", ["level"], False).select("level", F.col("k").alias(num), F.col("below").cast("int").alias("below"))

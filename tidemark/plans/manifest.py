@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import Corrupted
+from .ranges import numbered
 
 #: One row per edit; numbers are null where an edit doesn't set them.
 EDIT = (
@@ -38,8 +39,9 @@ def apply_edits(base: DataFrame, ops: DataFrame) -> DataFrame:
 
 def ordered(files: DataFrame) -> DataFrame:
     """Files with their place in their level: newest first in level 0, by key below."""
-    w = Window.partitionBy("level").orderBy(F.when(F.col("level") == 0, -F.col("num")), "imin_k", "num")
-    return files.withColumn("place", F.row_number().over(w))
+    top, deep = files.where("level = 0").withColumn("_z", -F.col("num")), files.where("level <> 0")
+    first = numbered(top, ["level"], "_z", [F.col("_z")], "place").drop("_z")
+    return first.unionByName(numbered(deep, ["level"], "imin_k", [F.col("imin_k"), F.col("num")], "place")).withColumn("place", F.col("place").cast("int"))
 
 
 def scalars(edits: DataFrame) -> DataFrame:
@@ -65,8 +67,16 @@ def recover(edits: DataFrame, comparer: str) -> tuple[DataFrame, dict]:
 
 
 def snapshot_edit(files: DataFrame) -> DataFrame:
-    """A version as one edit per level: what a rotated manifest begins with."""
-    return files.groupBy("level").agg(F.sort_array(F.collect_list("num")).alias("nums"))
+    """A version as rows of one edit that adds all its files, one row a level, with
+    all that a file needs to be found again: what a rotated manifest begins with.
+    :func:`operations` and :func:`fold` give the version back."""
+    whole = F.struct("level", "num", "size", F.col("imin_k").alias("imin"), F.col("imax_k").alias("imax"))
+    return files.groupBy("level").agg(F.sort_array(F.collect_list(whole)).alias("added")).select(F.lit(0).cast("long").alias("edit_no"), "level", "added")
+
+
+def restored(snapshot: DataFrame) -> DataFrame:
+    """The files of a :func:`snapshot_edit`."""
+    return snapshot.select(F.explode("added").alias("t")).select("t.level", "t.num", "t.size", F.col("t.imin").alias("imin_k"), F.col("t.imax").alias("imax_k"))
 
 
 def reference_counts(versions: DataFrame) -> DataFrame:

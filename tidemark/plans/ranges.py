@@ -1,24 +1,24 @@
-"""Joins of closed key ranges without comparing every pair.
+"""Joins, running sums and neighbours over ordered keys, in bounded ranges.
 
-The key space is cut into segments at a bounded sample of range starts.  Each
-range goes to the segments that it meets, an equi-join brings ranges of a
-segment together, and a pair is kept in the first segment that both meet.  So the
-work is linear in ranges and hits instead of a nested loop.
+The key space is cut into segments at a bounded sample of keys.  Within a segment
+joins are equi-joins and windows see its rows only; what a segment has to know of
+those before it, one row a segment and group, is carried across.  So no task holds
+more than a segment of a group, whatever the size of the group.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Cuts of the key space at most; they are part of the plan.
 CUTS = 256
 
 
-def cuts_of(ranges: DataFrame, low: str, n: int = CUTS) -> list:
-    """Up to ``n`` starts of ranges, those with the smallest hashes, sorted."""
-    rows = ranges.select(low).where(F.col(low).isNotNull()).distinct().orderBy(F.xxhash64(low), low).limit(n).collect()
-    return sorted(r[0] for r in rows)
+def cuts_of(rows: DataFrame, key: str, n: int = CUTS) -> list:
+    """Up to ``n`` keys, those with the smallest hashes, sorted."""
+    found = rows.select(key).where(F.col(key).isNotNull()).distinct().orderBy(F.xxhash64(key), key).limit(n).collect()
+    return sorted(r[0] for r in found)
 
 
 def segment(key: Column, cuts: list) -> Column:
@@ -30,7 +30,9 @@ def overlap_join(left: DataFrame, right: DataFrame, left_range: tuple[str, str],
     """Inner join of rows whose closed ranges share a key.
 
     Columns of the two sides must have different names.  A key is a range that
-    starts and ends at it.
+    starts and ends at it.  Each range goes to the segments that it meets, and a
+    pair is kept in the first segment that both meet; so the work is linear in
+    ranges and hits.
     """
     (a, b), (c, d) = left_range, right_range
     cuts = cuts_of(right, c) if cuts is None else cuts
@@ -44,3 +46,51 @@ def overlap_join(left: DataFrame, right: DataFrame, left_range: tuple[str, str],
     both = spread(usable(left, a, b), a, b, "_left").join(spread(usable(right, c, d), c, d, "_right"), "_segment")
     hit = both.where((F.col(a) <= F.col(d)) & (F.col(c) <= F.col(b)) & (F.col("_segment") == F.greatest("_left", "_right")))
     return hit.drop("_segment", "_left", "_right")
+
+
+def _before(order: str = "_segment", *groups: str) -> Window:
+    return Window.partitionBy(*groups).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def running_totals(probes: DataFrame, points: DataFrame, key: str, value: str, name: str, groups: list[str], inclusive: bool, cuts: list | None = None) -> DataFrame:
+    """``probes`` (``groups``, ``key``; distinct) with ``name``, the sum of ``value`` over
+    the ``points`` of the group whose key is below the probe's, or at it if
+    ``inclusive``."""
+    cuts = cuts_of(points, key) if cuts is None else cuts
+    cols = [*groups, key]
+    # At equal keys points come before the probes that count them.
+    both = points.select(*cols, F.col(value).cast("long").alias("_v"), F.lit(0 if inclusive else 1).alias("_o"), F.lit(False).alias("_probe")).unionByName(
+        probes.select(*cols, F.lit(None).cast("long").alias("_v"), F.lit(1 if inclusive else 0).alias("_o"), F.lit(True).alias("_probe"))
+    )
+    rows = both.withColumn("_segment", segment(F.col(key), cuts))
+    within = Window.partitionBy(*groups, "_segment").orderBy(key, "_o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = rows.groupBy(*groups, "_segment").agg(F.sum("_v").alias("_t"))
+    carried = totals.select(*groups, "_segment", F.sum("_t").over(_before("_segment", *groups)).alias("_c"))
+    summed = rows.withColumn("_s", F.sum("_v").over(within)).where("_probe")
+    out = summed.join(carried, [*groups, "_segment"])
+    return out.select(*cols, (F.coalesce("_s", F.lit(0)) + F.coalesce("_c", F.lit(0))).cast("long").alias(name))
+
+
+def numbered(rows: DataFrame, groups: list[str], key: str, order: list[Column], name: str = "pos", cuts: list | None = None) -> DataFrame:
+    """``rows`` with their number from 1 within ``groups`` by ``order``, which begins
+    with ``key``."""
+    cuts = cuts_of(rows, key) if cuts is None else cuts
+    at = rows.withColumn("_segment", segment(F.col(key), cuts))
+    counts = at.groupBy(*groups, "_segment").agg(F.count("*").alias("_n"))
+    carried = counts.select(*groups, "_segment", F.coalesce(F.sum("_n").over(_before("_segment", *groups)), F.lit(0)).alias("_c"))
+    own = F.row_number().over(Window.partitionBy(*groups, "_segment").orderBy(*order))
+    joined = at.withColumn("_own", own).join(carried, [*groups, "_segment"])
+    return joined.withColumn(name, (F.col("_own") + F.col("_c")).cast("long")).drop("_own", "_c", "_segment")
+
+
+def with_neighbours(rows: DataFrame, group: str, key: str, cuts: list | None = None) -> DataFrame:
+    """``group, key, pos, prev_key, next_key``: number, and the keys before and after."""
+    cuts = cuts_of(rows, key) if cuts is None else cuts
+    at = rows.select(group, key).withColumn("_segment", segment(F.col(key), cuts))
+    ends = at.groupBy(group, "_segment").agg(F.count("*").alias("_n"), F.min(key).alias("_lo"), F.max(key).alias("_hi"))
+    w = Window.partitionBy(group).orderBy("_segment")
+    carried = ends.select(group, "_segment", F.coalesce(F.sum("_n").over(_before("_segment", group)), F.lit(0)).alias("_c"), F.lag("_hi").over(w).alias("_prev"), F.lead("_lo").over(w).alias("_next"))
+    own = Window.partitionBy(group, "_segment").orderBy(key)
+    inside = at.select("*", F.row_number().over(own).alias("_own"), F.lag(key).over(own).alias("_lag"), F.lead(key).over(own).alias("_lead"))
+    out = inside.join(carried, [group, "_segment"])
+    return out.select(group, key, (F.col("_own") + F.col("_c")).cast("int").alias("pos"), F.coalesce("_lag", "_prev").alias("prev_key"), F.coalesce("_lead", "_next").alias("next_key"))

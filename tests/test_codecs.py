@@ -35,6 +35,10 @@ def test_crc_known():
     assert hashing.crc32c(b"123456789") == 0xE3069283
     assert hashing.masked(hashing.crc32c(b"123456789")) == 0xC78AB0E5
     assert hashing.crc32c(b"") == 0
+    rng = random.Random(2)
+    for n in (1, 3, 100, 6143, 6144, 6145, 10_000, 40_007):
+        data = rng.randbytes(n)
+        assert hashing.crc32c(data) == int(hashing.crc32c_batch(pa.array([data]))[0])
 
 
 @settings(max_examples=100, deadline=None)

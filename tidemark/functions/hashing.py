@@ -68,8 +68,53 @@ def crc32c_batch(values: pa.Array) -> np.ndarray:
     return (c ^ np.uint32(_M32)).astype(np.int64)
 
 
+@lru_cache(None)
+def _crc_list() -> list[int]:
+    return _crc_table().tolist()
+
+
+#: Bytes of a lane; buffers from the second number of bytes on are cut into lanes.
+LANE, LANES_FROM = 64, 6144
+
+
+@lru_cache(None)
+def _behind_lane() -> list[list[int]]:
+    """For each byte of a checksum, what it becomes behind a lane of zeros."""
+    table, out = _crc_list(), []
+    for k in range(4):
+        row = []
+        for x in range(256):
+            c = x << 8 * k
+            for _ in range(LANE):
+                c = table[c & 0xFF] ^ c >> 8
+            row.append(c)
+        out.append(row)
+    return out
+
+
 def crc32c(data: bytes) -> int:
-    return int(crc32c_batch(pa.array([data], pa.binary()))[0])
+    """Of one buffer.  A long one is cut into lanes, which go side by side; without
+    its first inversion a checksum is linear, so those of lanes are put together by
+    what each becomes behind the lanes that follow."""
+    if len(data) < LANES_FROM:
+        c, table = _M32, _crc_list()
+        for x in data:
+            c = table[(c ^ x) & 0xFF] ^ c >> 8
+        return c ^ _M32
+    lanes = -(-len(data) // LANE)
+    raw = np.zeros(lanes * LANE, np.uint8)
+    begin = len(raw) - len(data)  # zeros in front change nothing
+    raw[begin:] = np.frombuffer(data, np.uint8)
+    raw[begin : begin + 4] ^= 0xFF
+    columns, table = raw.reshape(lanes, LANE).T, _crc_table()
+    c = np.zeros(lanes, np.uint32)
+    for column in columns:
+        c = table[(c ^ column) & 0xFF] ^ c >> 8
+    t0, t1, t2, t3 = _behind_lane()
+    total = 0
+    for x in c.tolist():
+        total = t0[total & 0xFF] ^ t1[total >> 8 & 0xFF] ^ t2[total >> 16 & 0xFF] ^ t3[total >> 24] ^ x
+    return total ^ _M32
 
 
 def masked(crc: np.ndarray | int):

@@ -468,7 +468,9 @@ OFFSET_SQL = """
 
 @query(BLOCKS_SQL + OFFSET_SQL + "SELECT ukey, \"offset\" FROM ofs")
 def approx_offset(spark, sf_dir):
-    files = _files(spark, sf_dir).cache()  # encoded once, read twice
+    path = unused_path(spark, "table-files")
+    _files(spark, sf_dir).write.parquet(path)  # encoded once, read twice
+    files = spark.read.parquet(path)
     meta = files.select(F.col("file_num").alias("num"), F.col("bytes").alias("size"), F.col("first_key").alias("imin_k"), F.col("last_key").alias("imax_k"))
     return layout.approximate_offsets(meta, table_file.block_index(files, PLAIN), _log(spark, sf_dir))
 
@@ -782,6 +784,18 @@ def writer_counters(spark, sf_dir):
     return _files(spark, sf_dir).select("file_num", "blocks", "entries", "bytes")
 
 
+@query(KV + "SELECT file_num, ukey, seq, CAST(kind AS INTEGER) AS kind FROM (SELECT *, row_number() OVER (PARTITION BY file_num ORDER BY ukey, seq DESC) AS i FROM kv WHERE ukey > '00000009' OR ukey = '00000009' AND seq <= 700) WHERE i = 1")
+def find_in_files(spark, sf_dir):
+    """A seek in each file's table, which holds internal keys."""
+    return table_file.find_in_files(_files(spark, sf_dir), "00000009", 700, PLAIN)
+
+
+@query(KV + "SELECT file_num, ukey, seq, CAST(kind AS INTEGER) AS kind, row_number() OVER (PARTITION BY file_num ORDER BY ukey DESC, seq) - 1 AS pos FROM kv WHERE ukey >= '00000005' AND ukey < '00000100'")
+def cursor_walk(spark, sf_dir):
+    """A cursor from the last row of a range to its first, in each file's table."""
+    return table_file.walk(_files(spark, sf_dir), "00000005", "00000100", True, PLAIN)
+
+
 #: A filter is cut where a block's end passes a multiple of 2 KiB, once for each.
 @query(BLOCKS_SQL + """, ends AS (SELECT file_num, block, ("offset" + length + 5) // 2048 AS upto FROM blocks),
 g AS (SELECT file_num, max(upto) AS n, max_by(upto, block) AS last, coalesce(max(upto) FILTER (block < nb), 0) AS before FROM ends JOIN (SELECT file_num AS f, max(block) AS nb FROM ends GROUP BY ALL) ON f = file_num GROUP BY file_num)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..errors import Corrupted
 from ..functions.comparer import Comparer, FilterPolicy
 from ..functions.hashing import crc32c, masked
-from ..functions.keys import internal_key
+from ..functions.keys import MAX_SEQ, internal_key, parse_internal_key
 from ..options import Options, Strict
 from .varint import put, take
 
@@ -317,41 +317,74 @@ class Table:
 class Cursor:
     """A position in a table, moved both ways within a half-open range.
 
-    A fresh cursor stands before the first row.  Moves say whether there is a row."""
+    A fresh cursor stands before the first row.  Moves say whether there is a row.
+    The rows of the block that it stands in are kept, so a step within it is cheap."""
 
     def __init__(self, table: Table, start: bytes | None = None, limit: bytes | None = None):
         self.table, self.start, self.limit = table, start, limit
         self.row: tuple[bytes, bytes] | None = None
         self._side = -1  # where it stands without a row: before the first (-1) or behind the last (1)
-
-    def _set(self, row: tuple[bytes, bytes] | None, side: int) -> bool:
-        order = self.table.comparer.key
+        self._n, self._rows, self._at = -1, [], 0
+
+    def _load(self, n: int) -> bool:
+        if not 0 <= n < len(self.table.index):
+            return False
+        if n != self._n:
+            self._n, self._rows = n, list(self.table.block(n).entries())
+        return True
+
+    def _stand(self, side: int) -> bool:
+        """On the row at ``_at``, or at the next block's if it is beyond this one."""
+        while self._rows and not 0 <= self._at < len(self._rows):
+            step = 1 if self._at > 0 else -1
+            if not self._load(self._n + step):
+                self.row, self._side = None, side
+                return False
+            self._at = 0 if step > 0 else len(self._rows) - 1
+        row, order = self._rows[self._at] if self._rows else None, self.table.comparer.key
         inside = row is not None and (self.start is None or order(row[0]) >= order(self.start)) and (self.limit is None or order(row[0]) < order(self.limit))
         self.row, self._side = (row, 0) if inside else (None, side)
         return inside
 
+    def _to(self, key: bytes, before: bool, side: int) -> bool:
+        """To the first row at or after ``key``, or the last before it."""
+        n = self.table._at(key)
+        order = self.table.comparer.key
+        if not self._load(min(n, len(self.table.index) - 1)):
+            return self._stand(side)
+        self._at = bisect_left(self._rows, order(key), key=lambda r: order(r[0])) - before
+        return self._stand(side)
+
     def first(self) -> bool:
-        return self._set(self.table.find(self.start) if self.start is not None else next(self.table.entries(), None), 1)
+        if self.start is not None:
+            return self._to(self.start, False, 1)
+        self._at = 0
+        self._load(0)
+        return self._stand(1)
 
     def last(self) -> bool:
-        return self._set(self.table.before(self.limit), -1)
+        if self.limit is not None:
+            return self._to(self.limit, True, -1)
+        self._load(len(self.table.index) - 1)
+        self._at = len(self._rows) - 1
+        return self._stand(-1)
 
     def seek(self, key: bytes) -> bool:
         """The first row at or after ``key``; not before the range."""
         order = self.table.comparer.key
-        return self._set(self.table.find(key if self.start is None or order(key) > order(self.start) else self.start), 1)
+        return self._to(key if self.start is None or order(key) > order(self.start) else self.start, False, 1)
 
     def next(self) -> bool:
         if self.row is None:
             return self.first() if self._side < 0 else False
-        rows = self.table.entries(self.row[0])
-        next(rows)
-        return self._set(next(rows, None), 1)
+        self._at += 1
+        return self._stand(1)
 
     def prev(self) -> bool:
         if self.row is None:
             return self.last() if self._side > 0 else False
-        return self._set(self.table.before(self.row[0]), -1)
+        self._at -= 1
+        return self._stand(-1)
 
     @property
     def valid(self) -> bool:
@@ -477,3 +510,52 @@ def filter_segments(files: DataFrame, options: Options = Options()) -> DataFrame
                 yield pa.record_batch([pa.array([x], pa.int64()) for x in (num, segments, lost)], names=["file_num", "segments", "lost"])
 
     return files.select("file_num", "content").mapInArrow(run, "file_num long, segments long, lost long")
+
+
+def find_in_files(files: DataFrame, ukey: str, seq: int, options: Options = Options()) -> DataFrame:
+    """``file_num, ukey, seq, kind``: the first entry of each table at or after the
+    version that a read of ``ukey`` at ``seq`` looks for; no row where there is none."""
+    internal, policy = options.internal_comparer(), options.internal_filter()
+    target = internal_key(ukey.encode(), seq, 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for num, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                found = Table(content.as_py(), options, internal, policy).find(target)
+                if found:
+                    yield _versions([(num, 0, *parse_internal_key(found[0]))])
+
+    return files.select("file_num", "content").mapInArrow(run, VERSIONS).drop("pos")
+
+
+def walk(files: DataFrame, start: str | None, limit: str | None, backwards: bool = False, options: Options = Options()) -> DataFrame:
+    """:data:`VERSIONS` of a cursor's way through the half-open range of user keys of
+    each table, from its first row to its last or back; ``pos`` counts its steps from 0."""
+    internal, policy = options.internal_comparer(), options.internal_filter()
+    lo, hi = (None if k is None else internal_key(k.encode(), MAX_SEQ, 1) for k in (start, limit))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for num, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                cursor = Cursor(Table(content.as_py(), options, internal, policy), lo, hi)
+                on, rows, pos = cursor.last() if backwards else cursor.first(), [], 0
+                while on:
+                    rows.append((num, pos, *parse_internal_key(cursor.row[0])))
+                    pos += 1
+                    if len(rows) == 10_000:
+                        yield _versions(rows)
+                        rows = []
+                    on = cursor.prev() if backwards else cursor.next()
+                if rows:
+                    yield _versions(rows)
+
+    return files.select("file_num", "content").mapInArrow(run, VERSIONS)
+
+
+VERSIONS = "file_num long, pos long, ukey string, seq long, kind int"
+
+
+def _versions(rows: list[tuple]) -> pa.RecordBatch:
+    num, pos, ukey, seq, kind = zip(*rows, strict=True)
+    cols = [pa.array(num, pa.int64()), pa.array(pos, pa.int64()), pa.array([k.decode() for k in ukey]), pa.array(seq, pa.int64()), pa.array(kind, pa.int32())]
+    return pa.record_batch(cols, names=[part.split()[0] for part in VERSIONS.split(", ")])

@@ -106,3 +106,25 @@ def test_run_leaves_only_its_result(spark, tmp_path):
     assert out.count() > 0
     left = {p.name.split("-")[0] for p in root.iterdir() if p.name not in before and not p.name.endswith(".crc")}
     assert left == {"stage"}
+
+
+def test_tables_live_as_long_as_they_are_read(spark):
+    from pathlib import Path
+
+    from tidemark.llm import scratch
+
+    seen = []
+
+    @scratch.operator
+    def twice(df):
+        one = scratch.materialize(df, "one")
+        two = scratch.materialize(one.where("id > 1"), "two")
+        seen.extend(sorted(scratch.read_by(one) | scratch.read_by(two)))
+        return two.where("id < 5")
+
+    with scratch.scope(spark):
+        out = twice(spark.range(10))
+        assert [Path(p).exists() for p in seen] == [False, True] and out.count() == 3
+    assert not any(Path(p).exists() for p in seen)
+    for form in ("file:/a/b/", "file:///a/b", "/a/b", "hdfs://host:1/a/b"):
+        assert scratch._bare(spark, form) == "/a/b"

@@ -11,33 +11,22 @@ left, once its results are written.
 from __future__ import annotations
 
 import functools
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-CONF = "spark.checkpoint.dir"
-#: Paths written in each open operator or scope, innermost last.
-_open: list[list[str]] = []
+from ..sources.workdir import shared_dir, unused_path
 
+__all__ = ["delete", "materialize", "new_path", "operator", "read_by", "scope", "shared_dir"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session.  Where it is unset a temporary one
-    is made, which only a local session may do, as its tasks share one machine."""
-    path = spark.sparkContext.getConf().get(CONF) or spark.conf.get(CONF, None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"{CONF} has to name a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set(CONF, path)
-    return path.rstrip("/")
+#: Paths written in each open operator or scope, innermost last.
+_open: list[list[str]] = []
 
 
 def new_path(spark: SparkSession, name: str, keep: bool = False) -> str:
     """A path not used yet; what is written there is deleted in time unless ``keep``."""
-    path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    path = unused_path(spark, name)
     if _open and not keep:
         _open[-1].append(path)
     return path
@@ -51,20 +40,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def read_by(df: DataFrame) -> set[str]:
-    """Folders that the plan of ``df`` reads."""
+#: Leaves of a plan that read no files.
+_NO_FILES = {"LogicalRDD", "LocalRelation", "Range", "OneRowRelation"}
+
+
+def read_by(df: DataFrame) -> set[str] | None:
+    """Folders that the plan of ``df`` reads; None if it has sources that don't tell."""
     leaves = df._jdf.queryExecution().analyzed().collectLeaves()
     out: set[str] = set()
     for k in range(leaves.size()):
         leaf = leaves.apply(k)
-        if leaf.getClass().getSimpleName() == "LogicalRelation" and hasattr(leaf.relation(), "location"):
+        kind = leaf.getClass().getSimpleName()
+        if kind == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
             roots = leaf.relation().location().rootPaths()
             out |= {roots.apply(i).toUri().getPath().rstrip("/") for i in range(roots.size())}
+        elif kind not in _NO_FILES:
+            return None
     return out
 
 
-def _bare(path: str) -> str:
-    return path.split("://", 1)[-1].rstrip("/") if path.startswith("file://") else "/" + path.split("://", 1)[-1].split("/", 1)[-1].rstrip("/") if "://" in path else path.rstrip("/")
+def _bare(spark: SparkSession, path: str) -> str:
+    """A path without scheme and authority."""
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).toUri().getPath().rstrip("/")
 
 
 def operator(f: Callable) -> Callable:
@@ -81,7 +78,7 @@ def operator(f: Callable) -> Callable:
         spark = next(a for a in (*args, *kw.values()) if isinstance(a, DataFrame | SparkSession))
         spark = spark.sparkSession if isinstance(spark, DataFrame) else spark
         for path in made:
-            if _bare(path) not in held:
+            if held is not None and _bare(spark, path) not in held:
                 delete(spark, path)
             elif _open:
                 _open[-1].append(path)

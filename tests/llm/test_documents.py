@@ -65,6 +65,28 @@ def test_hash_table_and_coder_limits():
     assert len(calls) == 2  # the table was emptied in between
 
 
+def test_words_whose_hashes_agree(monkeypatch):
+    """All hashes are alike, so every word but the first is told apart by its check."""
+    real = wordsplit.pieces
+
+    def alike(parts):
+        joined, starts, ends, hashes = real(parts)
+        return joined, starts, ends, np.full_like(hashes, 7)
+
+    monkeypatch.setattr(wordsplit, "pieces", alike)
+    monkeypatch.setattr(bpe_distinct, "pieces", alike)
+    words = ["one", "two", "three", "one", "x" * 300, "two"]
+    coder = wordsplit.PieceCoder(lambda found: [[len(w), ord(w[0])] for w in found])
+    assert [next(coder.ids([w]))[1].tolist() for w in words] == [[len(w), ord(w[0])] for w in words]
+    block = bpe_distinct._Block()
+    for k, w in enumerate(words):
+        block.add([k], [w])
+    assert [block.words[s[0]] for s in block.stream] == words and len(block.words) == 4
+    spans = np.array([0, 3, 6]), np.array([3, 6, 9])
+    a, b, c = wordsplit.span_checks(wordsplit.code_points("abcabcabd"), *spans)
+    assert a == b != c
+
+
 # Chosen-path join
 
 

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .scratch import operator
 from .vbyte_ids import decode_ranks, encode_ranks
-from .wordsplit import LONGEST, chunks, pieces
+from .wordsplit import LONGEST, chunks, code_points, pieces, span_checks
 
 RANKS_FILE = "byte_bpe_50k.tiktoken"
 #: Characters of text of a block.
@@ -100,6 +101,7 @@ class _Block:
         self.known: dict[int | str, int] = {}
         self.words: list[str] = []
         self.hashes: list[int] = []
+        self.checks = array("Q")
         self.stream: list[np.ndarray] = []
         self.doc_ids: list[int | None] = []
         self.counts: list[int] = []
@@ -115,12 +117,17 @@ class _Block:
             at = np.zeros(len(keys), np.int64)
             at[codes[::-1]] = np.arange(len(codes))[::-1]
             number = np.fromiter((self.known.get(k, -1) for k in keys.tolist()), np.int64, len(keys))
+            check = span_checks(code_points(joined), starts[at], ends[at])
+            for k in np.flatnonzero(number >= 0).tolist():
+                if self.checks[number[k]] != check[k]:  # another word with the same hash
+                    word = joined[starts[at[k]] : ends[at[k]]]
+                    number[k] = self.known[word] if word in self.known else self._new(word, word, int(keys[k]), int(check[k]))
             for k in np.flatnonzero(number < 0).tolist():
-                number[k] = self._new(int(keys[k]), joined[starts[at[k]] : ends[at[k]]], int(keys[k]))
+                number[k] = self._new(int(keys[k]), joined[starts[at[k]] : ends[at[k]]], int(keys[k]), int(check[k]))
             out = number[codes]
             for k in np.flatnonzero(ends - starts > LONGEST).tolist():
                 word = joined[starts[k] : ends[k]]
-                out[k] = self.known[word] if word in self.known else self._new(word, word, int(hashes[k]))
+                out[k] = self.known[word] if word in self.known else self._new(word, word, int(hashes[k]), 0)
             self.stream.append(out.astype(np.uint32))
             heads = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
             stops = np.searchsorted(starts, heads)
@@ -130,10 +137,11 @@ class _Block:
                 begin = stop
             self.chars += len(joined)
 
-    def _new(self, key: int | str, word: str, h: int) -> int:
+    def _new(self, key: int | str, word: str, h: int, check: int) -> int:
         self.known[key] = len(self.words)
         self.words.append(word)
         self.hashes.append(h)
+        self.checks.append(check)
         return len(self.words) - 1
 
     def rows(self, block: int, buckets: int, place: Callable[[int], int]) -> Iterator[tuple[int, int, int, bytes]]:

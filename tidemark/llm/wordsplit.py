@@ -67,6 +67,26 @@ def span_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return (total[ends] - total[starts]) * q[starts] ^ ((ends - starts).astype(np.uint64) << np.uint64(48))
 
 
+@lru_cache(None)
+def _check_powers() -> np.ndarray:
+    x = np.full(LONGEST + 1, 0xD6E8FEB86659FD93 | 1, np.uint64)
+    x[0] = 1
+    return np.multiply.accumulate(x)
+
+
+def span_checks(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Other 64-bit hashes of (not empty) spans, which tell apart those whose first
+    hashes agree by chance.  Made for the few distinct spans of a text only."""
+    size = ends - starts
+    if not len(size):
+        return np.zeros(0, np.uint64)
+    heads = np.cumsum(size) - size
+    at = np.arange(int(size.sum())) - np.repeat(heads, size)
+    signs = points[np.repeat(starts, size) + at].astype(np.uint64) * np.uint64(0xA0761D6478BD642F) + np.uint64(0xE7037ED1A0B428DB)
+    signs ^= signs >> np.uint64(32)
+    return np.add.reduceat(signs * _check_powers()[np.minimum(at, LONGEST)], heads) ^ size.astype(np.uint64)
+
+
 def safe_cuts(text: str, chunk: int = CHUNK) -> Iterator[str]:
     """Parts of a long text, cut only where white space follows other signs,
     which always ends a piece."""
@@ -181,7 +201,8 @@ class HashTable:
 
 
 class PieceCoder:
-    """Ids of whole texts; each distinct piece goes to ``encode`` once.
+    """Ids of whole texts; each distinct piece goes to ``encode`` once.  A piece is
+    known again by two hashes; if only the first one agrees, it is encoded by itself.
 
     ``encode`` maps a list of pieces to a list of id lists.  The table of known
     pieces is emptied when it holds ``limit`` of them, or their ids are very many,
@@ -198,6 +219,7 @@ class PieceCoder:
         self.used = 0
         self.off = np.zeros(1 << 16, np.int32)
         self.len = np.zeros(1 << 16, np.int32)
+        self.check = np.zeros(1 << 16, np.uint64)
         self.count = 0
 
     def _add(self, ids: list[list[int]]) -> np.ndarray:
@@ -206,7 +228,7 @@ class PieceCoder:
         while self.used + total > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         while self.count + len(ids) > len(self.off):
-            self.off, self.len = (np.concatenate([x, np.zeros_like(x)]) for x in (self.off, self.len))
+            self.off, self.len, self.check = (np.concatenate([x, np.zeros_like(x)]) for x in (self.off, self.len, self.check))
         self.pool[self.used : self.used + total] = np.fromiter((y for x in ids for y in x), np.uint32, total)
         slots = np.arange(self.count, self.count + len(ids))
         self.off[slots] = self.used + np.cumsum(lens) - lens
@@ -222,12 +244,17 @@ class PieceCoder:
         at = np.zeros(len(keys), np.int64)
         at[codes[::-1]] = np.arange(len(codes))[::-1]
         slot = self.known.find(keys)
-        missing = np.flatnonzero(slot < 0)
+        check = span_checks(code_points(joined), starts[at], ends[at])
+        other = slot >= 0
+        other[other] = self.check[slot[other]] != check[other]  # another piece with the same hash
+        missing = np.flatnonzero((slot < 0) | other)
         if len(missing):
-            at = at[missing]
-            new = self._add(self.encode([joined[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]))
+            where = at[missing]
+            new = self._add(self.encode([joined[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]))
+            self.check[new] = check[missing]
             slot[missing] = new
-            self.known.add(keys[missing], new)
+            fresh = ~other[missing]
+            self.known.add(keys[missing][fresh], new[fresh])
         out = slot[codes]
         long = np.flatnonzero(ends - starts > LONGEST)
         if len(long):

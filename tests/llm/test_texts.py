@@ -318,10 +318,12 @@ def test_the_sample_is_bounded(spark, monkeypatch):
         return out
 
     monkeypatch.setattr(quality_ftrl, "materialize", spy)
-    quality_ftrl.fit(hot.union(rest))
-    quality_ftrl.fit(hot.union(rest), rows=40, slots=60)
-    w, _ = quality_ftrl.fit(hot.union(rest), rows=40, slots=1)
-    assert seen == [12_000, 40, 40] and 0 < (w != 0).sum() <= 10
+    both = hot.union(rest)
+    docs, known = both.drop("label"), both.select("doc_id", "label").distinct()
+    quality_ftrl.fit(docs, known)
+    quality_ftrl.fit(docs, known, rows=40, slots=60)
+    w, _ = quality_ftrl.fit(docs, known, rows=40, slots=1)
+    assert seen == [12_000] * 2 + [40] * 4 and 0 < (w != 0).sum() <= 10
 
 
 def test_quality_with_dotted_columns(spark):

@@ -115,18 +115,21 @@ def sigmoid(x: float) -> float:
     return 1 / (1 + math.exp(-x)) if x >= 0 else math.exp(x) / (1 + math.exp(x))
 
 
-def fit(labelled: DataFrame, rows: int = FIT_ROWS, passes: int = PASSES, slots: int = FIT_SLOTS) -> tuple[np.ndarray, float]:
-    """(weights, bias) from ``(doc_id, text, label)`` with label 0 or 1.
-
-    Repeats of id, text and label count once.  Texts are turned into slots where
-    they lie; the sample (at most ``rows`` documents, and ``slots`` slots unless the
-    first has more) meets in one task that learns from them in the order of their
-    hashes.
+def fit(docs: DataFrame, known: DataFrame, rows: int = FIT_ROWS, passes: int = PASSES, slots: int = FIT_SLOTS) -> tuple[np.ndarray, float]:
+    """(weights, bias) from ``docs`` (``doc_id, text``) and ``known`` (distinct ``doc_id,
+    label`` with label 0 or 1).
+
+    Repeats of id, text and label count once.  Hashes of the texts choose the sample,
+    and only its texts leave their place: they are turned into slots, and the sample
+    (at most ``rows`` documents, and ``slots`` slots unless the first has more) meets in
+    one task that learns from them in the order of their hashes.
     """
     keys = ["doc_id", "label", "text_hash"]
-    hashed = labelled.where(F.col("label").isin(0, 1)).select("doc_id", F.col("label").cast("int").alias("label"), F.xxhash64("text").alias("text_hash"), "text")
-    chosen = hashed.select(*keys).distinct().orderBy(F.xxhash64("doc_id"), *keys).limit(rows)
-    known = hashed.join(F.broadcast(chosen), keys, "left_semi").groupBy(*keys).agg(F.any_value("text").alias("text"))
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    labels = known.where(F.col("label").isin(0, 1)).select("doc_id", F.col("label").cast("int").alias("label"))
+    chosen = hashed.drop("text").join(labels, "doc_id").select(*keys).distinct().orderBy(F.xxhash64("doc_id"), *keys).limit(rows)
+    chosen = materialize(chosen, "chosen")  # at most ``rows`` rows, so it can be broadcast
+    known = hashed.join(F.broadcast(chosen), ["doc_id", "text_hash"]).groupBy(*keys).agg(F.any_value("text").alias("text"))
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -207,7 +210,7 @@ def train_on_labels(docs: DataFrame, labels: DataFrame, **kw) -> tuple[np.ndarra
     out; without any labelled document every score is 0.5.
     """
     known = labels.select("doc_id", F.col("quality").alias("label")).where(~held_out(F.col("doc_id"))).distinct()
-    return fit(docs.select("doc_id", "text").join(known, "doc_id"), **kw)
+    return fit(docs.select("doc_id", "text"), known, **kw)
 
 
 @operator

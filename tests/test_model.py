@@ -51,7 +51,7 @@ def test_neighbours(spark):
     rng = random.Random(5)
     have = rng.sample(range(1000), 100)
     ask = list(range(-5, 1010, 7)) + have[:5]
-    got = read.neighbours(spark.createDataFrame([(p,) for p in ask], "p long"), spark.createDataFrame([(k,) for k in have], "k long"), "p", "k", buckets=8)
+    got = read.neighbours(spark.createDataFrame([(p,) for p in ask], "p long"), spark.createDataFrame([(k,) for k in have], "k long"), "p", "k")
     assert {(r.p, r.below, r.at_or_above) for r in got.collect()} == {
         (p, max((k for k in have if k < p), default=None), min((k for k in have if k >= p), default=None)) for p in ask
     }
@@ -188,7 +188,7 @@ def test_ordered_plans_in_segments(spark):
             found = ranges.running_totals(asked, df, "k", "num", "t", ["g"], inclusive, cuts).collect()
             assert len(found) == 4 * 72 and all(r.t == sum(n for k, n in groups.get(r.g, []) if k < r.k or inclusive and k == r.k) for r in found)
         once = df.dropDuplicates(["g", "k"])
-        near = {(r.g, r.k): (r.pos, r.prev_key, r.next_key) for r in ranges.with_neighbours(once, "g", "k", cuts).collect()}
+        near = {(r.g, r.k): (r.pos, r.prev_key, r.next_key) for r in ranges.with_neighbours(once, "g", "k").collect()}
         for g, own in groups.items():
             ks = sorted({k for k, _ in own})
             assert all(near[g, k] == (i + 1, ks[i - 1] if i else None, ks[i + 1] if i + 1 < len(ks) else None) for i, k in enumerate(ks))

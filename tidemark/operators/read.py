@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.ranges import as_of as as_of_keys
 from ..plans.ranges import overlap_join
 
 LIVE, DELETED = 1, 0
@@ -102,38 +103,8 @@ def find_last(rows: DataFrame, column: str = "ukey") -> DataFrame:
     return rows.orderBy(F.desc(column)).limit(1)
 
 
-def neighbours(probes: DataFrame, keys: DataFrame, probe: str, key: str, buckets: int = 64) -> DataFrame:
+def neighbours(probes: DataFrame, keys: DataFrame, probe: str, key: str) -> DataFrame:
     """As-of join of many probes: the greatest key below and the least key at or
-    above each one.
-
-    Keys and probes are merged in ranges; within a range two window functions
-    carry the neighbour along, and the bounds of the ranges (one row each) carry
-    it across.  So no task holds more than a range and nothing is broadcast but
-    ``buckets`` rows.
-    """
-    both = keys.select(F.col(key).alias("k"), F.lit(1).alias("is_key")).union(probes.select(F.col(probe).alias("k"), F.lit(0).alias("is_key"))).distinct()
-    marks = both.where("is_key = 1").select(F.percentile_approx("k", [i / buckets for i in range(1, buckets)], 10_000).alias("m")).first().m or []
-    cuts = sorted(set(marks))
-    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<long>"), lambda c: c <= F.col("k")))
-    rows = both.withColumn("b", bucket)
-    ends = rows.where("is_key = 1").groupBy("b").agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
-    known = {r.b: (r.lo, r.hi) for r in ends.collect()}
-    below, above, seen = [], [], None
-    for b in range(len(cuts) + 1):
-        below.append(seen)
-        seen = known.get(b, (None, seen))[1]
-    seen = None
-    for b in reversed(range(len(cuts) + 1)):
-        above.append(seen)
-        seen = known.get(b, (seen, None))[0]
-    above.reverse()
-    spark = rows.sparkSession
-    kind = dict(both.dtypes)["k"]
-    edges = spark.createDataFrame([(b, below[b], above[b]) for b in range(len(cuts) + 1)], f"b int, edge_lt {kind}, edge_ge {kind}")
-    w = Window.partitionBy("b")
-    own = F.when(F.col("is_key") == 1, F.col("k"))
-    lt = F.last(own, True).over(w.orderBy("k", "is_key").rowsBetween(Window.unboundedPreceding, -1))
-    # Descending, as a frame up to the end of a partition takes quadratic time.
-    ge = F.last(own, True).over(w.orderBy(F.desc("k"), F.desc("is_key")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = rows.withColumn("lt", lt).withColumn("ge", ge).where("is_key = 0").join(F.broadcast(edges), "b")
-    return out.select(F.col("k").alias(probe), F.coalesce("lt", "edge_lt").alias("below"), F.coalesce("ge", "edge_ge").alias("at_or_above"))
+    above each one.  Keys and probes are merged in ranges, within which two windows
+    carry the neighbour along; the ends of the ranges, one row each, carry it across."""
+    return as_of_keys(probes, keys, probe, key)

@@ -157,7 +157,7 @@ def write_archives(pages: DataFrame, path: str | None = None, min_bytes: int = 1
     table = f"tidemark_pages_{uuid.uuid4().hex}"
     staged = stage(pages, table, new_path(spark, "pages"), **cols)
     try:
-        with _conf(spark, spark_sql_requireAllClusterKeysForCoPartition="false"):
+        with _conf(spark, spark_sql_requireAllClusterKeysForCoPartition="false", spark_sql_sources_bucketing_enabled="true"):
             files = records(resolve(staged, min_bytes)).mapInArrow(_archives, "content binary")
             files.select(F.col("content").cast("string").alias("value")).write.option("lineSep", RECORD_END).option("maxRecordsPerFile", 1).text(path)
     finally:

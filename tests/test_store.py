@@ -55,7 +55,7 @@ def test_store_against_a_dictionary(spark, tmp_path):
     store = Store(spark, str(tmp_path / "db"), Options(l0_trigger=2, table_size=1500, total_size=4000, total_multiplier=2.0))
     model, snapshots, nums = {}, [], set()
     found = lambda df: {r.ukey: r.value for r in df.collect()}
-    for step in range(26):
+    for step in range(18):
         what = rng.choices(["write", "batch", "delete", "compact", "range", "gc", "snapshot", "release"], [5, 3, 2, 4, 2, 2, 3, 2])[0]
         before = store.state()
         if what == "write":

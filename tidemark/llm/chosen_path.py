@@ -36,7 +36,7 @@ SLOTS = 64
 RUNS, DEPTH, SMALL = 10, 4, 48
 #: Sets of a block of a node that is compared in blocks, at most and at least, and
 #: the n-grams that a block holds about: long sets stand in smaller blocks.
-BLOCK, LEAST_BLOCK, BLOCK_GRAMS = 1024, 64, 1 << 18
+BLOCK, LEAST_BLOCK, BLOCK_GRAMS = 512, 64, 1 << 18
 _ORDER = np.array([0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _rng = np.random.default_rng(20240501)
 _A = _rng.integers(0, 1 << 63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -11,6 +11,22 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
 
+def shown(n: int) -> str:
+    for unit in ("", "Ki", "Mi", "Gi"):
+        if n <= 1024:
+            return f"{n}{unit}B"
+        n >>= 10
+    return f"{n}TiB"
+
+
+def test_human_size_beyond_a_long(spark, tmp_path):
+    keys = [(0, 5), (1, 1024), (1, 1025), (1024, 1), (1025, 1), (32_768, 1024), (9_000_000, 900_000), (10**9, 10**9), (4 * 10**12, 6 * 10**12), (2**20 - 1, 2**40 - 1), (None, 1), (3, -4)]
+    spark.createDataFrame(keys, "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    got = queries.QUERIES["human_size"][0](spark, str(tmp_path)).collect()
+    want = [(a, None if a is None else shown(a * a * b)) for a, b in keys]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()

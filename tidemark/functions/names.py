@@ -40,10 +40,16 @@ def of_types(name: Column, mask: int) -> Column:
 
 
 def short_bytes(size: Column) -> Column:
-    """Whole units, divided by 1024 while over 1024, up to TiB."""
-    out, rest = None, size
-    for unit in ("", "Ki", "Mi", "Gi"):
-        text = F.concat(rest.cast("string"), F.lit(f"{unit}B"))
-        out = F.when(rest <= 1024, text) if out is None else out.when(rest <= 1024, text)
-        rest = F.shiftright(rest, 10)
-    return out.otherwise(F.concat(rest.cast("string"), F.lit("TiB")))
+    """Whole units, divided by 1024 while over 1024, up to TiB; of whole numbers of any
+    type, decimals of 38 digits too."""
+    size = size.cast("decimal(38,0)")
+
+    def text(k: int, unit: str) -> Column:
+        # A multiple of the divisor, so that nothing is rounded.
+        whole = ((size - size % F.lit(1024**k)) / F.lit(1024**k)).cast("decimal(38,0)") if k else size
+        return F.concat(whole.cast("string"), F.lit(f"{unit}B"))
+
+    out = F.when(size <= 1024, text(0, ""))
+    for k, unit in enumerate(("Ki", "Mi", "Gi"), 1):
+        out = out.when(size < F.lit(1025 * 1024**k), text(k, unit))
+    return out.otherwise(text(4, "Ti"))

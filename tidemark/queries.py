@@ -630,8 +630,10 @@ def parse_filenames(spark, sf_dir):
 
 @query("SELECT o_orderkey, CASE WHEN b <= 1024 THEN b || 'B' WHEN b // 1024 <= 1024 THEN (b // 1024) || 'KiB' WHEN b // 1048576 <= 1024 THEN (b // 1048576) || 'MiB' WHEN b // 1073741824 <= 1024 THEN (b // 1073741824) || 'GiB' ELSE (b // 1099511627776) || 'TiB' END AS shown FROM (SELECT o_orderkey, o_orderkey * o_orderkey * o_custkey AS b FROM orders)")
 def human_size(spark, sf_dir):
-    o = fixture.read(spark, sf_dir, "orders")
-    return o.select("o_orderkey", names.short_bytes(F.col("o_orderkey") * F.col("o_orderkey") * F.col("o_custkey")).alias("shown"))
+    """The sizes are products of three keys, which a long doesn't hold from some
+    millions on; decimals do, to 38 digits."""
+    key, customer = (F.col(c).cast("decimal(20,0)") for c in ("o_orderkey", "o_custkey"))
+    return fixture.read(spark, sf_dir, "orders").select("o_orderkey", names.short_bytes(key * key * customer).alias("shown"))
 
 
 #: Each customer's orders as pointer files of a directory: the newest of the fifth kind

@@ -142,6 +142,34 @@ def test_journal_batches(spark, tmp_path):
     assert [(r.record_no, bytes(r.record)) for r in got] == list(enumerate(some))
 
 
+class Frame:
+    """Keeps what a reader would run over Arrow batches."""
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+@pytest.mark.parametrize("read", [journal.records, journal.chunk_rows])
+def test_journal_is_never_held_whole(read):
+    taken = 0
+
+    def batches():
+        nonlocal taken
+        for taken in range(1, 31):
+            yield pa.record_batch([pa.array(["one"] * 500), pa.array(["x" * 30] * 500)], names=["path", "record"])
+
+    out = read(Frame(), source=journal.encoded)(batches())
+    assert next(out).num_rows == journal.BATCH and taken < 15
+    assert journal.BATCH + sum(b.num_rows for b in out) >= 15_000 and taken == 30
+
+
+def test_journal_without_name(spark):
+    rows = spark.createDataFrame([(None, 1, "a"), ("x", 2, "b"), (None, 3, "c" * 70_000), ("x", 4, "")], "journal string, o long, record string")
+    want = {(None, 0, b"a"), ("x", 0, b"b"), (None, 1, b"c" * 70_000), ("x", 1, b"")}
+    read = lambda *a, **k: {(r.path, r.record_no, bytes(r.record)) for r in journal.records(*a, **k).collect()}
+    assert read(journal.write(rows, "journal", "o", "record")) == want == read(journal.in_order(rows, "journal", "o", "record"), source=journal.encoded)
+
+
 def some_rows(n=3000, seed=9):
     rng = random.Random(seed)
     return sorted({f"key{rng.randrange(10**6):07d}".encode(): rng.randbytes(rng.randrange(60)) for _ in range(n)}.items())

@@ -27,6 +27,12 @@ def test_human_size_beyond_a_long(spark, tmp_path):
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("name", ["journal_chunks", "journal_corruption", "journal_dropped", "journal_round_trip"])
+def test_journals_stay_in_one_python_step(spark, name):
+    df = queries.QUERIES[name][0](spark, SF)
+    assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()

@@ -8,7 +8,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -698,34 +697,29 @@ WITH RECURSIVE r AS (
 def _journals(spark, sf_dir):
     e = fixture.read(spark, sf_dir, "events")
     rows = e.select(F.floor(F.col("event_id") / 500).alias("journal"), "event_id", F.expr("repeat(props, cast(1 + event_id % 40 as int))").alias("record"))
-    return journal.write(rows, "journal", "event_id", "record")
+    return journal.in_order(rows, "journal", "event_id", "record")
 
 
-def _damaged(spark, sf_dir):
+def _damaged(batches):
     """The journals with a wrong checksum at the beginning of their second block."""
 
-    def flip(batches):
-        for b in batches:
-            out = []
-            for x in b.column(1).to_pylist():
-                raw = bytearray(x)
-                if len(raw) > journal.BLOCK:
-                    raw[journal.BLOCK] ^= 1
-                out.append(bytes(raw))
-            yield pa.record_batch([b.column(0), pa.array(out, pa.binary())], names=["path", "content"])
+    def flip(blocks):
+        for k, block in enumerate(blocks):
+            yield bytes([block[0] ^ 1]) + block[1:] if k == 1 else block
 
-    return _journals(spark, sf_dir).mapInArrow(flip, "path string, content binary")
+    for name, blocks in journal.encoded(batches):
+        yield name, flip(blocks)
 
 
 @query(JOURNAL_SQL + "SELECT path, chunk_no, block_no, \"at\", type, bytes FROM ch")
 def journal_chunks(spark, sf_dir):
-    return journal.chunk_rows(_journals(spark, sf_dir))
+    return journal.chunk_rows(_journals(spark, sf_dir), source=journal.encoded)
 
 
 @query(JOURNAL_SQL + ", lost AS (SELECT DISTINCT path, i FROM ch WHERE block_no = 1) SELECT path, row_number() OVER (PARTITION BY path ORDER BY i) - 1 AS record_no, md5(record) AS record FROM r WHERE (path, i) NOT IN (SELECT path, i FROM lost)")
 def journal_corruption(spark, sf_dir):
     """Records that a damaged block leaves: those with no part in it."""
-    return journal.records(_damaged(spark, sf_dir)).select("path", "record_no", F.md5("record").alias("record"))
+    return journal.records(_journals(spark, sf_dir), source=_damaged).select("path", "record_no", F.md5("record").alias("record"))
 
 
 @query(JOURNAL_SQL + """, size AS (SELECT path, max(pos) AS n FROM ch GROUP BY path)
@@ -733,7 +727,7 @@ SELECT path, 'checksum-differs' AS reason, least(n - 32768, 32768) AS bytes FROM
 UNION ALL SELECT path, 'part-without-start', bytes + 7 FROM ch WHERE block_no = 2 AND "at" = 0 AND type IN (3, 4)""")
 def journal_dropped(spark, sf_dir):
     """What is reported of a damaged block: its bytes, and the part behind it."""
-    return journal.dropped(_damaged(spark, sf_dir))
+    return journal.dropped(_journals(spark, sf_dir), source=_damaged)
 
 
 @query("SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS record_no, 1 + event_id % 3 AS chunks, props AS record FROM events")
@@ -814,7 +808,7 @@ def filter_partition(spark, sf_dir):
 @query("SELECT CAST(event_id // 500 AS VARCHAR) AS path, row_number() OVER (PARTITION BY event_id // 500 ORDER BY event_id) - 1 AS record_no, repeat(props, CAST(1 + event_id % 40 AS INTEGER)) AS record FROM events")
 def journal_round_trip(spark, sf_dir):
     """Journals of 500 records, some over several blocks, encoded and decoded."""
-    return journal.records(_journals(spark, sf_dir), strict=True).select("path", "record_no", F.decode("record", "UTF-8").alias("record"))
+    return journal.records(_journals(spark, sf_dir), strict=True, source=journal.encoded).select("path", "record_no", F.decode("record", "UTF-8").alias("record"))
 
 
 @query("SELECT o_orderkey // 1000 AS tbl, printf('%08d', o_orderkey) AS key, o_orderpriority AS value FROM orders WHERE o_orderkey % 1000 BETWEEN 100 AND 899")

@@ -3,9 +3,11 @@
 import os
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 from tidemark import queries
+from tidemark.sources import journal
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -33,6 +35,19 @@ def test_journals_stay_in_one_python_step(spark, name):
     assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
 
 
+def test_damage_block_by_block():
+    texts = {"a": ["x" * 900] * 40, "b": ["y" * 500], "c": ["z" * 70_000, "w"]}
+    rows = [(name, x) for name, own in texts.items() for x in own]
+    batches = (pa.record_batch([pa.array([r[0] for r in rows[k : k + 7]]), pa.array([r[1] for r in rows[k : k + 7]])], names=["path", "record"]) for k in range(0, len(rows), 7))
+    got = {name: list(journal.decode(blocks)) for name, blocks in queries._damaged(batches)}
+    for name, own in texts.items():
+        whole = bytearray(journal.encode(x.encode() for x in own))
+        if len(whole) > journal.BLOCK:
+            whole[journal.BLOCK] ^= 1
+        assert got[name] == list(journal.decode(bytes(whole)))
+    assert len(got["a"]) < 40 and len(got["b"]) == 1 and got["c"] == [b"w"]
+
+
 def test_lru_sim_streams_and_takes_nulls(spark, tmp_path):
     duckdb.sql(f"COPY (SELECT event_id, CASE WHEN event_id % 7 > 0 THEN user_id END AS user_id FROM '{SF}/events.parquet') TO '{tmp_path}/events.parquet'")
     query, sql = queries.QUERIES["lru_sim"]
